@@ -25,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellorium.llm.vectors import LENGTH, pair_pearson, to_matrix, unit_rows
+from cellorium.llm.vectors import cross_pearson, pair_pearson, to_matrix, unit_rows
 from cellorium.session import cut_lineage
 
 #: Projections per block, share of them that must collide, rows per block the trees aim at.
 PROJECTIONS, THRESHOLD, BLOCK = 16, 0.7, 1024
 TREES = 8
+#: Share of a tile's pairs from which candidates are verified by a matrix product.
+DENSE = 0.02
 #: Vectors from which the cuts of the trees are fitted; every vector is indexed.
 SAMPLE = 65_536
-#: Half width of the zone around a cut that goes to both sides, for full vectors and per share of empty positions.
-MARGIN, MARGIN_EMPTY = 0.02, 0.12
+#: Half width of the zone around a cut that goes to both sides: for similarities from 0.9 on, below that, and per root of the share of empty positions.
+MARGIN, WIDE_MARGIN, MARGIN_EMPTY = 0.02, 0.1, 0.12
 
 
 def _fit_tree(u: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +102,11 @@ def _search_block(x: np.ndarray, k: int, min_sim: float, seed: int, tile: int =
             hit = _collide(p, p[todo], np.float32(1.5 * r)) >= need
             hit[np.arange(len(todo)), todo] = False
             qi, cj = np.nonzero(hit)
-            sim = pair_pearson(x[todo[qi]], x[cj]) if len(qi) else np.zeros(0)
+            if hit.mean() > DENSE:  # many candidates: one matrix product instead of pair by pair
+                sim = cross_pearson(x[todo], x)[qi, cj]
+            else:
+                at = range(0, len(qi), 50_000)
+                sim = np.concatenate([pair_pearson(x[todo[qi[a : a + 50_000]]], x[cj[a : a + 50_000]]) for a in at]) if len(qi) else np.zeros(0)
             ok = sim >= min_sim
             qi, cj, sim = qi[ok], cj[ok], sim[ok]
             last = r == radii[-1]
@@ -122,26 +128,27 @@ def _search_block(x: np.ndarray, k: int, min_sim: float, seed: int, tile: int =
     return cat(out_i, np.int64), cat(out_j, np.int64), cat(out_s, float)
 
 
-def _sub_blocks(x: np.ndarray, limit: int, seed: int) -> list[np.ndarray]:
+def _sub_blocks(x: np.ndarray, limit: int, seed: int, margin: float = MARGIN) -> list[np.ndarray]:
     """Cut a block that came out larger than planned further, with shared margins."""
     if len(x) <= limit:
         return [np.arange(len(x))]
     depth = int(np.ceil(np.log2(len(x) / (limit / 2))))
     u = unit_rows(x)
     dirs, cuts = _fit_tree(u, depth, seed)
-    row, leaf = _route(u, np.full(len(x), MARGIN), dirs, cuts)
+    row, leaf = _route(u, np.full(len(x), margin), dirs, cuts)
     order = np.argsort(leaf, kind="stable")
     return np.split(row[order], np.flatnonzero(np.diff(leaf[order])) + 1)
 
 
-def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: float = 0.0, trees: int = TREES, block: int = BLOCK, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
+def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: float = 0.5, trees: int = TREES, block: int | None = None, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
     """(query, neighbour, similarity): up to k most similar other vectors with similarity >= ``min_sim``.
 
     ``vectors`` has one row per key, all vectors of one length and different from
     each other (see :func:`mutual_neighbours` for exact copies).  Similarity is
     the Pearson correlation over the positions filled in both.  The result is
     approximate; the tests hold its recall at 0.9 or more against brute force.
-    Equal similarities are ordered by key.  An empty table gives no row.
+    Equal similarities are ordered by key.  An empty table gives no row.  Blocks
+    default to ``BLOCK`` rows, to twice that and a wider margin for similarities under 0.9.
 
     The trees are fitted on a bounded sample (``sample``), their depth follows
     from the count of all vectors; every vector is indexed and is a query.  A
@@ -149,6 +156,8 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
     with the number of vectors times the block size.
     """
     n = vectors.count()
+    near = min_sim >= 0.9
+    block, zone = block or (BLOCK if near else 2 * BLOCK), MARGIN if near else WIDE_MARGIN
     ddl = "tree int, leaf int, id string, x array<float>"
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / block))))
     depth = min(depth, int(np.log2(max(sample // 8, 1))))
@@ -167,7 +176,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
             if not len(x):
                 continue
             u = unit_rows(x)
-            margin = MARGIN + MARGIN_EMPTY * np.sqrt((~np.isfinite(x)).mean(1))
+            margin = zone + MARGIN_EMPTY * np.sqrt((~np.isfinite(x)).mean(1))
             rows, leaves, tree = [], [], []
             for t in range(trees):
                 r, lf = _route(u, margin, *fitted[t]) if fitted else (np.arange(len(x)), np.zeros(len(x), np.int64))
@@ -185,7 +194,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
         ids, x = ids[order], to_matrix(t.column("x"))[order]
         s = seed * 1000 + key_[0].as_py()
         qs, ns, sims = [], [], []
-        for part in _sub_blocks(x, 2 * block, s):
+        for part in _sub_blocks(x, 2 * block, s, zone):
             part = np.sort(part)
             i, j, sim = _search_block(x[part], k, min_sim, s)
             qs.append(ids[part[i]])
@@ -207,7 +216,6 @@ def mutual_neighbours(vectors: DataFrame, key: str, vec: str, k: int = 10, min_s
     the first k + 1 keys can be in a mutual pair (similarity ties go to the
     smaller key), so no class is expanded further, however large.
     """
-    w = Window.partitionBy(vec).orderBy(key)
     ranked = vectors.select(F.col(key).cast("string").alias("id"), vec).withColumn("x", F.transform(vec, lambda v: F.coalesce(v, F.lit(float("nan")))))
     w = Window.partitionBy("x").orderBy("id")
     first = ranked.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)
