@@ -54,10 +54,25 @@ class CFTree:
             leaf[mine] = own[np.argmax(c[mine] @ cen[own].T - half[own], axis=1)]
         return leaf
 
-    def _fits(self, leaf, n, ls, ss) -> np.ndarray:
-        m = self.n[leaf] + n
-        r2 = (self.ss[leaf] + ss) / m - ((self.ls[leaf] + ls) ** 2).sum(-1) / m**2
-        return r2 <= self.radius2
+    def _absorb(self, leaf, left, n, ls, ss) -> np.ndarray:
+        """Add to each leaf as many of its features, nearest first, as keep its radius; True for those added."""
+        cen = self._centres()
+        dist = ((ls[left] / n[left][:, None] - cen[leaf]) ** 2).sum(1)
+        order = np.lexsort((dist, leaf))
+        ok = np.zeros(len(left), bool)
+        cuts = np.r_[0, np.flatnonzero(np.diff(leaf[order])) + 1, len(order)]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            own, lf = order[s:e], leaf[order[s]]
+            rows = left[own]
+            m = self.n[lf] + np.cumsum(n[rows])
+            sums = self.ls[lf] + np.cumsum(ls[rows], axis=0)
+            sq = self.ss[lf] + np.cumsum(ss[rows])
+            bad = np.flatnonzero(sq / m - (sums**2).sum(1) / m**2 > self.radius2)
+            k = int(bad[0]) if len(bad) else len(rows)
+            if k:
+                self.n[lf], self.ls[lf], self.ss[lf] = m[k - 1], sums[k - 1], sq[k - 1]
+                ok[own[:k]] = True
+        return ok
 
     def insert(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
         """Insert features (single vectors: n = 1, ss = squared length)."""
@@ -68,11 +83,7 @@ class CFTree:
                 left = left[1:]
                 continue
             leaf = self._route(ls[left] / n[left][:, None])
-            ok = self._fits(leaf, n[left], ls[left], ss[left])
-            t, lf = left[ok], leaf[ok]
-            np.add.at(self.n, lf, n[t])
-            np.add.at(self.ls, lf, ls[t])
-            np.add.at(self.ss, lf, ss[t])
+            ok = self._absorb(leaf, left, n, ls, ss)
             left = left[~ok]
             if len(left):  # the first that fits nowhere becomes a leaf, the others are tried again
                 seeds = left[: max(1, len(left) // 64)]
@@ -149,7 +160,7 @@ def similarity_clusters(vectors: DataFrame, key: str, vec: str, least_corr: floa
     vector that correlates with no average by ``least_corr``.  clusters:
     cluster_no, n_members, rank, key, similarity of the ``typical`` members nearest
     the average (ties by key).  Averages of two clusters correlate by less than
-    ``least_corr``.  Cluster numbers follow size.  Empty input: both are empty.
+    ``least_corr``.  Cluster numbers follow the size of the merged features.  Empty input: both are empty.
 
     The driver holds at most ``max_leaves`` features whatever the input; the
     averages broadcast with the assignment are at most as many.

@@ -170,7 +170,7 @@ def score_lines(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text
 
 
 def _counts(df: DataFrame, by: str | None, k: int) -> DataFrame:
-    arr = F.array(*[F.sum((F.col("best") == i).cast("double")) for i in range(k)])
+    arr = F.array(*[F.coalesce(F.sum((F.col("best") == i).cast("double")), F.lit(0.0)) for i in range(k)])
     return df.groupBy(by).agg(arr.alias(f"n_{by}")) if by else df.agg(arr.alias("n_all"))
 
 
@@ -191,7 +191,7 @@ def identify_languages(docs: DataFrame, samples: DataFrame, key: str = "doc_id",
     model = fit_samples(samples)
     langs, k = model.langs, len(model.langs)
     lines = cut_lineage(score_lines(docs, model, key, text, label, source)).withColumn("suffix", F.coalesce(F.element_at(F.split("source", "-"), -1), F.lit("")))
-    everything = np.array(_counts(lines, None, k).first()["n_all"] or [0.0] * k, float)
+    everything = np.array(_counts(lines, None, k).first()["n_all"], float)
     base = (everything + 1.0) / (everything.sum() + k)
     known = F.when(F.col("declared").isin(langs), F.col("declared"))
     table = lines.filter(known.isNotNull()).groupBy(known.alias("d"), "best").agg(F.count(F.lit(1)).alias("n")).collect()

@@ -216,13 +216,13 @@ def mutual_neighbours(vectors: DataFrame, key: str, vec: str, k: int = 10, min_s
     the first k + 1 keys can be in a mutual pair (similarity ties go to the
     smaller key), so no class is expanded further, however large.
     """
-    ranked = vectors.select(F.col(key).cast("string").alias("id"), vec).withColumn("x", F.transform(vec, lambda v: F.coalesce(v, F.lit(float("nan")))))
+    ranked = vectors.select(F.col(key).cast("string").alias("id"), F.col(vec).alias("vec"), F.transform(vec, lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x"))
     w = Window.partitionBy("x").orderBy("id")
     first = ranked.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)
-    first = cut_lineage(first.withColumn("class", F.min("id").over(Window.partitionBy("x"))).select("id", "class", "rn", vec))
-    reps = first.filter("rn = 1").select("id", vec)
+    first = cut_lineage(first.withColumn("class", F.min("id").over(Window.partitionBy("x"))).select("id", "class", "rn", "vec"))
+    reps = first.filter("rn = 1").select("id", "vec")
     members = first.select("class", "id")
-    near = k_nearest(reps, "id", vec, k, min_sim, **index).select("query", "neighbour", "similarity")
+    near = k_nearest(reps, "id", "vec", k, min_sim, **index).select("query", "neighbour", "similarity")
     both = near.unionByName(near.select(F.col("neighbour").alias("query"), F.col("query").alias("neighbour"), "similarity")).distinct()
     a = members.select(F.col("class").alias("query"), F.col("id").alias("a"))
     b = members.select(F.col("class").alias("neighbour"), F.col("id").alias("b"))

@@ -37,7 +37,8 @@ def quotas(targets: DataFrame, supply: DataFrame) -> DataFrame:
     supply < target_share * sample_size; ``short_min``: supply < min_cells.
     Targets whose category is missing have supply 0.
     """
-    t = targets.withColumn("category_key", label_key(F.col("category"))).withColumn("ideal", F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))
+    t = targets.select("target_id", "dataset_id", "field_name", "category", "target_share", "min_cells", "sample_size")
+    t = t.withColumn("category_key", label_key(F.col("category"))).withColumn("ideal", F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))
     keys = ["dataset_id", "field_name", "category_key"]
     s = supply.withColumnRenamed("category", "category_key")
     t = t.join(s, keys, "left").withColumn("supply", F.coalesce("supply", F.lit(0)))

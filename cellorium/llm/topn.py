@@ -33,7 +33,8 @@ def top_n_per_group(
     rows are interchangeable.  Rows whose score is null, NaN or infinite are
     never ranked.  A null group value is a group of its own.  A group with fewer
     than n usable rows comes out whole, an empty table gives no row, and further
-    columns are carried along.
+    columns are carried along whatever their names (an input column ``rank`` is
+    replaced).
 
     Plan: (1) rows per group and bin, with map-side combine: at most bins rows
     for a group whatever its size; (2) the running count from the best bin down
@@ -44,21 +45,26 @@ def top_n_per_group(
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    rows = df.filter(finite(F.col(score))).withColumn("__bin", score_bin(F.col(score).cast("double"), resolution))
-    names = [f"__g{i}" for i in range(len(group))]
-    hist = rows.groupBy(*[F.col(g).alias(a) for g, a in zip(group, names)], "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    down = Window.partitionBy(*names).orderBy(F.desc("__bin"))
-    need = hist.withColumn("__before", F.sum("__n").over(down) - F.col("__n")).filter(F.col("__before") < n)
-    least = need.groupBy(*names).agg(F.min("__bin").alias("__least"))
-    least = least.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    salted = rows.withColumn("__s", F.pmod(F.xxhash64(*ties, score), F.lit(salts)).cast("int"))
-    on = [F.col(g).eqNullSafe(F.col(a)) for g, a in zip(group, names)] + [F.col("__s") == F.col("__salt")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    kept = salted.join(least, cond).filter(F.col("__bin") >= F.col("__least"))
-    w = Window.partitionBy(*group).orderBy(F.desc(score), *[F.asc(t) for t in ties])
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(*df.columns, "rank")
+    gs = [f"g{i}" for i in range(len(group))]
+    ts = [f"t{i}" for i in range(len(ties))]
+    quoted = [F.col(f"`{c}`") for c in df.columns if c != "rank"]
+    rows = df.filter(finite(F.col(score))).select(
+        F.struct(*quoted).alias("row"), *[F.col(g).alias(a) for g, a in zip(group, gs)], F.col(score).cast("double").alias("s"), *[F.col(t).alias(a) for t, a in zip(ties, ts)]
+    )
+    rows = rows.withColumn("bin", score_bin(F.col("s"), resolution))
+    names = [f"h{i}" for i in range(len(group))]
+    hist = rows.groupBy(*[F.col(g).alias(a) for g, a in zip(gs, names)], "bin").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy(*names).orderBy(F.desc("bin"))
+    need = hist.withColumn("before", F.sum("n").over(down) - F.col("n")).filter(F.col("before") < n)
+    least = need.groupBy(*names).agg(F.min("bin").alias("least"))
+    least = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    salted = rows.withColumn("part", F.pmod(F.xxhash64(*ts, "s"), F.lit(salts)).cast("int"))
+    cond = F.col("part") == F.col("salt")
+    for g, a in zip(gs, names):
+        cond = cond & F.col(g).eqNullSafe(F.col(a))
+    kept = salted.join(least, cond).filter(F.col("bin") >= F.col("least"))
+    w = Window.partitionBy(*gs).orderBy(F.desc("s"), *[F.asc(t) for t in ts])
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("row.*", "rank")
 
 
 def current_marker_scores(de: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
