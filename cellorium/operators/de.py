@@ -93,15 +93,16 @@ def rank_sums(expr: DataFrame, value: str, group: str, gene: str = GENE) -> Data
     are one row before anything is sorted.  tie_sum = sum of t^3 - t.
     """
     x = nan_to_null(F.col(value))
-    c = expr.select(gene, group, x.alias("__x")).filter(F.col("__x").isNotNull()).groupBy(gene, group, "__x").agg(F.count(F.lit(1)).alias("c"))
-    t = c.groupBy(gene, "__x").agg(F.sum("c").alias("t"), F.collect_list(F.struct(F.col(group).alias("g"), "c")).alias("parts"))
-    w = Window.partitionBy(gene).orderBy("__x")
-    t = t.withColumn("mid", F.sum("t").over(w) - (F.col("t") - 1) / F.lit(2.0))
-    p = t.select(gene, "mid", "t", F.posexplode("parts").alias("pos", "p"))
-    tie = F.when(F.col("pos") == 0, F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).otherwise(0.0)
-    s = p.groupBy(gene, F.col("p.g").alias(group)).agg(F.sum("p.c").alias("n_group"), F.sum(F.col("p.c") * F.col("mid")).alias("rank_sum"), F.sum(tie).alias("ties"))
-    g = Window.partitionBy(gene)
-    return s.withColumn("n_total", F.sum("n_group").over(g)).withColumn("tie_sum", F.sum("ties").over(g)).drop("ties")
+    rows = expr.select(F.col(gene).alias("__gene"), F.col(group).alias("__g"), x.alias("__x")).filter(F.col("__x").isNotNull())
+    c = rows.groupBy("__gene", "__g", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    t = c.groupBy("__gene", "__x").agg(F.sum("__c").alias("__t"), F.collect_list(F.struct("__g", "__c")).alias("parts"))
+    w = Window.partitionBy("__gene").orderBy("__x")
+    t = t.withColumn("mid", F.sum("__t").over(w) - (F.col("__t") - 1) / F.lit(2.0))
+    p = t.select("__gene", "mid", "__t", F.posexplode("parts").alias("pos", "p"))
+    tie = F.when(F.col("pos") == 0, F.col("__t").cast("double") * F.col("__t") * F.col("__t") - F.col("__t")).otherwise(0.0)
+    s = p.groupBy("__gene", F.col("p.__g").alias("__g")).agg(F.sum("p.__c").alias("n_group"), F.sum(F.col("p.__c") * F.col("mid")).alias("rank_sum"), F.sum(tie).alias("ties"))
+    g = Window.partitionBy("__gene")
+    return s.select(F.col("__gene").alias(gene), F.col("__g").alias(group), "n_group", "rank_sum", F.sum("n_group").over(g).alias("n_total"), F.sum("ties").over(g).alias("tie_sum"))
 
 
 def kruskal_h(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:

@@ -31,8 +31,11 @@ def _affinities(d: np.ndarray, perplexity: float) -> np.ndarray:
     return p / s[:, None]
 
 
-def tsne(x: np.ndarray, dims: int = 2, perplexity: float = 30.0, max_iter: int = 1000, early_stop: int = 250, exaggeration: float = 12.0, late_start: int | None = None, late_exaggeration: float = 1.0, learning_rate: float = 200.0, momentum: float = 0.5, final_momentum: float = 0.8, theta: float = 0.5, df: float = 1.0, seed: int = 42) -> np.ndarray:
-    """Exact t-SNE (theta is validated and ignored) with early and late exaggeration and a momentum switch."""
+def tsne(x: np.ndarray, dims: int = 2, perplexity: float = 30.0, max_iter: int = 1000, early_stop: int = 250, exaggeration: float = 12.0, late_start: int | None = None, late_exaggeration: float = 1.0, learning_rate: float | None = None, momentum: float = 0.5, final_momentum: float = 0.8, theta: float = 0.5, df: float = 1.0, seed: int = 42) -> np.ndarray:
+    """Exact t-SNE (theta is validated and ignored) with early and late exaggeration and a momentum switch.
+
+    The learning rate defaults to points / (4 * exaggeration), between 20 and 200.
+    """
     x = np.asarray(x, dtype=float)
     if x.ndim != 2:
         raise ValueError("x must be a matrix")
@@ -47,6 +50,7 @@ def tsne(x: np.ndarray, dims: int = 2, perplexity: float = 30.0, max_iter: int =
     if len(x) > MAX_POINTS:
         raise ValueError(f"{len(x)} points; embed at most {MAX_POINTS} and project the rest")
     n = len(x)
+    learning_rate = learning_rate or float(np.clip(n / (4 * exaggeration), 20, 200))
     p = _affinities(_d2(x), perplexity)
     p = np.maximum((p + p.T) / (2 * n), 1e-12)
     rs = np.random.RandomState(seed)
