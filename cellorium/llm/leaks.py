@@ -84,72 +84,87 @@ class PassageIndex:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def bands(self, doc_of: np.ndarray, local: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, band) that reach the item's bound."""
-        none = np.zeros(0, np.int64)
+    def bands(self, doc_of: np.ndarray, local: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, item, lowest diagonal, passage range) of the bands that reach their item's bound.
+
+        A band is two neighbouring halves of ``max_edits`` + 1 diagonals.  A half
+        without neighbours is a band by itself; a band whose upper half is empty is
+        part of the one below.  A region within the budget reaches at most ``q *
+        max_edits + max_edits`` characters beyond its shared q-grams.
+        """
+        none = (np.zeros(0, np.int64),) * 5
         if not len(self.hash) or not len(h):
-            return none, none, none
+            return none
         maybe = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hash, h[maybe]), len(self.hash) - 1)
         hit = self.hash[at] == h[maybe]
         maybe, at = maybe[hit], at[hit]
         if not len(at):
-            return none, none, none
+            return none
         many = self.stop[at] - self.start[at]
         src = np.repeat(np.arange(len(at)), many)
         post = np.arange(len(src)) - np.repeat(np.cumsum(many) - many, many) + self.start[at][src]
-        item = self.item[post]
-        diag = local[maybe][src] - self.pos[post]
-        doc = doc_of[maybe][src]
+        pos = self.pos[post]
         half = self.max_edits + 1
-        band = (diag + (1 << 30)) // half
-        keys = []
-        for b in (band, band - 1):
-            keys.append((doc.astype(np.int64) * len(self.ids) + item) << 31 | b)
-        u, n = np.unique(np.concatenate(keys), return_counts=True)
+        key = ((doc_of[maybe][src].astype(np.int64) * len(self.ids) + self.item[post]) << 31) | ((local[maybe][src] - pos + (1 << 30)) // half)
+        order = np.argsort(key, kind="stable")
+        key, pos = key[order], pos[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        u, n = key[first], np.diff(np.r_[first, len(key)])
+        lo, hi = np.minimum.reduceat(pos, first), np.maximum.reduceat(pos, first)
+        follows = np.r_[u[1:] == u[:-1] + 1, False]
+        both = np.flatnonzero(follows)
+        n2, lo2, hi2 = n.copy(), lo.copy(), hi.copy()
+        n2[both] += n[both + 1]
+        lo2[both], hi2[both] = np.minimum(lo[both], lo[both + 1]), np.maximum(hi[both], hi[both + 1])
         item = (u >> 31) % len(self.ids)
-        keep = n >= self.need[item]
-        u, item = u[keep], item[keep]
-        return (u >> 31) // len(self.ids), item, (u & ((1 << 31) - 1)) * half - (1 << 30)
+        keep = (follows | ~np.r_[False, follows[:-1]]) & (n2 >= self.need[item])
+        reach = self.q * (self.max_edits + 1) + self.max_edits
+        return (u[keep] >> 31) // len(self.ids), item[keep], (u[keep] & ((1 << 31) - 1)) * half - (1 << 30), np.maximum(lo2[keep] - reach, 0), hi2[keep] + self.q + reach
 
-    def align(self, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best local alignment inside the band: (score, first, last corpus position + 1); match 1, edit -PENALTY."""
+    def align(self, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, low: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best local alignment of passage[p0:p1] inside the band: (score, first, last corpus position + 1); match 1, edit -PENALTY."""
         width = 2 * (self.max_edits + 1) + 2 * self.max_edits
         low = low - self.max_edits
         k = len(doc)
         best, b0, b1 = np.zeros(k), np.zeros(k, np.int64), np.zeros(k, np.int64)
+        if not k:
+            return best, b0, b1
         dl = np.array([len(docs[d]) for d in doc], np.int64)
         il = np.array([len(self.text[i]) for i in item], np.int64)
-        dflat = np.concatenate([docs[d] for d in doc] + [np.zeros(1, np.uint32)])
-        iflat = np.concatenate([self.text[i] for i in item] + [np.zeros(1, np.uint32)])
-        doff, ioff = np.r_[0, np.cumsum(dl)[:-1]], np.r_[0, np.cumsum(il)[:-1]]
-        score, first = np.zeros((k, width)), np.zeros((k, width), np.int64)
+        size = np.minimum(p1, il) - p0
+        d0 = np.clip(p0 + low, 0, dl)  # the stretch of the document that the band can touch
+        dn = np.clip(p0 + size + low + width, 0, dl) - d0
+        dflat = np.concatenate([docs[d][a : a + m] for d, a, m in zip(doc, d0, dn)] + [np.zeros(1, np.uint32)])
+        iflat = np.concatenate([self.text[i][a : a + m] for i, a, m in zip(item, p0, size)] + [np.zeros(1, np.uint32)])
+        doff, ioff = np.r_[0, np.cumsum(dn)[:-1]], np.r_[0, np.cumsum(size)[:-1]]
+        score, first = np.zeros((k, width), np.float32), np.zeros((k, width), np.int64)
         diags = np.arange(width)
-        pen = float(PENALTY)
-        for i in range(int(il.max()) if k else 0):
-            live = i < il
-            j = i + low[:, None] + diags
-            ok = live[:, None] & (j >= 0) & (j < dl[:, None])
-            same = ok & (dflat[doff[:, None] + np.where(ok, j, 0)] == iflat[ioff + np.where(live, i, 0)][:, None])
-            s = score + np.where(same, 1.0, -pen)
+        base = (p0 + low - d0)[:, None] + diags  # position in the stretch for row 0
+        pen, rows = np.float32(PENALTY), np.arange(k)
+        for i in range(int(size.max())):
+            j = base + i
+            ok = (i < size)[:, None] & (j >= 0) & (j < dn[:, None])
+            same = ok & (dflat[doff[:, None] + np.where(ok, j, 0)] == iflat[ioff + np.where(i < size, i, 0)][:, None])
+            s = score + np.where(same, np.float32(1), -pen)
             f = np.where(score > 0, first, j)
-            up = np.full((k, width), -1.0)
-            up[:, :-1] = score[:, 1:] - pen  # a passage character is missing in the corpus
-            better = up > s
-            s, f = np.where(better, up, s), np.where(better, np.c_[first[:, 1:], first[:, -1:]], f)
-            for _ in range(self.max_edits):  # characters inserted in the corpus
-                side = np.full((k, width), -1.0)
-                side[:, 1:] = s[:, :-1] - pen
-                better = side > s
-                s, f = np.where(better, side, s), np.where(better, np.c_[f[:, :1], f[:, :-1]], f)
-            s = np.where(ok, np.maximum(s, 0.0), 0.0)
+            for left in (False, *[True] * self.max_edits):  # a passage character missing in the corpus; characters inserted there
+                other = np.full((k, width), -1, np.float32)
+                g = np.empty_like(f)
+                if left:
+                    other[:, 1:], g[:, 1:], g[:, 0] = s[:, :-1] - pen, f[:, :-1], 0
+                else:
+                    other[:, :-1], g[:, :-1], g[:, -1] = score[:, 1:] - pen, first[:, 1:], 0
+                better = other > s
+                s, f = np.where(better, other, s), np.where(better, g, f)
+            s = np.where(ok, np.maximum(s, 0), np.float32(0))
             score, first = s, f
             at = s.argmax(1)
-            top = s[np.arange(k), at]
+            top = s[rows, at]
             new = top > best
-            best = np.where(new, top, best)
-            b0 = np.where(new, f[np.arange(k), at], b0)
-            b1 = np.where(new, j[np.arange(k), at] + 1, b1)
+            if new.any():
+                best[new] = top[new]
+                b0[new], b1[new] = (f[rows, at] + d0)[new], (j[rows, at] + d0 + 1)[new]
         return best, b0, b1
 
 
@@ -170,10 +185,11 @@ def _scan(index_b, kind: pa.DataType, chars: int = 400_000):
         local = np.arange(len(flat)) - off[doc_of]
         whole = np.flatnonzero(local[: len(h)] + index.q <= lens[doc_of[: len(h)]])
         rows: dict = {}
-        d, it, low = index.bands(doc_of[whole], local[whole], h[whole])
-        for s in range(0, len(d), 4096):
-            e = slice(s, s + 4096)
-            score, b0, b1 = index.align(docs, d[e], it[e], low[e])
+        d, it, low, r0, r1 = index.bands(doc_of[whole], local[whole], h[whole])
+        by_size = np.argsort(r1 - r0, kind="stable")  # bands of like length together
+        for s in range(0, len(d), 2048):
+            e = by_size[s : s + 2048]
+            score, b0, b1 = index.align(docs, d[e], it[e], low[e], r0[e], r1[e])
             bound = index.least[it[e]] - index.max_edits * (1 + PENALTY)
             for x, y, sc, p0, p1, bd in zip(d[e], it[e], score, b0, b1, bound):
                 if sc >= bd and rows.get((x, y), (-1,))[0] < sc:
