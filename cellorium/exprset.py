@@ -125,3 +125,16 @@ class ExprSet:
         info = json.loads(spark.read.json(f"{path}/info").first()["info"])
         r = lambda n: spark.read.parquet(os.path.join(path, n))
         return ExprSet(r("expr"), r("genes"), r("cells"), {k: r(f"emb={k}") for k in info["emb"]}, dense=info["dense"])
+
+
+def ids_of(display: DataFrame, column: str, genes: DataFrame) -> DataFrame:
+    """Add gene_id for display names: the gene of smallest gene_idx that carries the name, null if none."""
+    from cellorium.operators.relational import lookup
+
+    return lookup(display, column, genes, "display_name", GENE, "gene_idx", GENE)
+
+
+def names_of(ids: DataFrame, genes: DataFrame) -> DataFrame:
+    """Add the display name of each gene_id; genes without one keep their id."""
+    n = genes.select(GENE, "display_name")
+    return ids.join(n, GENE, "left").withColumn("display_name", F.coalesce("display_name", F.col(GENE)))

@@ -160,3 +160,42 @@ def max_companion(df: DataFrame, keys: Sequence[str], by: str, carry: Sequence[s
     best = F.max_by(F.struct(by, *carry), F.struct(F.col(by), -F.col(tie)))
     ok = df.filter(finite(F.col(by)))
     return ok.groupBy(*keys).agg(best.alias("__b")).select(*keys, *[F.col("__b").getField(c).alias(c) for c in (by, *carry)])
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where null matches null; the keys come out once."""
+    r = b.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return a.join(r, cond).drop(*[f"__k_{k}" for k in keys])
+
+
+def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order: str, out: str) -> DataFrame:
+    """Add the value of the first row (by ``order``) of ``table`` with that key; null where there is none."""
+    first = table.filter(F.col(table_key).isNotNull()).groupBy(F.col(table_key).alias("__k")).agg(F.min_by(value, order).alias(out))
+    return df.join(first, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
+def scatter(df: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
+    """Replace ``value`` where ``updates`` has the key with a non-null value; keys must be unique in ``updates``."""
+    u = updates.select(key, F.col(value).alias("__new"))
+    return df.join(u, key, "left").withColumn(value, F.coalesce("__new", value)).drop("__new")
+
+
+def reorder(df: DataFrame, order: DataFrame, key: str, index: str) -> DataFrame:
+    """One row for each key of ``order`` in its order, nulls where ``df`` has none."""
+    return df.join(order.select(key, index), key, "right").orderBy(index, key)
+
+
+def union_filled(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of tables with different columns; missing columns are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def group_average_wide(long: DataFrame, row: Sequence[str], column: str, value: str, levels: Sequence[str]) -> DataFrame:
+    """Mean by (row, column), one column per level; the explicit levels keep it one pass."""
+    return long.groupBy(*row).pivot(column, list(levels)).agg(F.avg(value))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellorium.exprset import CELL, GENE, ExprSet
+from cellorium.exprset import CELL, GENE, ExprSet, ids_of, names_of
 from cellorium.operators import classify, cluster, de, groupstats, integrate, metrics, mixture, neighbors, reduce, relational, vgene
 from cellorium.operators.labels import canonical_spellings, label_key
 
@@ -236,6 +236,57 @@ def canonical_labels(spark, d):
     return canonical_spellings(_t(spark, d, "cells"), "cell_type1")
 
 
+@query("WITH f AS (SELECT display_name, arg_min(gene_id, gene_idx) AS gene_id FROM genes WHERE display_name IS NOT NULL GROUP BY 1), n AS (SELECT DISTINCT gene_symbol AS name FROM gene_de_list) SELECT name, gene_id FROM n LEFT JOIN f ON name = display_name")
+def names_to_ids(spark, d):
+    n = _t(spark, d, "gene_de_list").select(F.col("gene_symbol").alias("name")).distinct()
+    return ids_of(n, "name", _t(spark, d, "genes"))
+
+
+@query("SELECT DISTINCT x.gene_id, coalesce(display_name, x.gene_id) AS display_name FROM gene_de_list x LEFT JOIN genes USING (gene_id)")
+def ids_to_names(spark, d):
+    return names_of(_t(spark, d, "gene_de_list").select(GENE).distinct(), _t(spark, d, "genes"))
+
+
+@query("WITH a AS (SELECT gene_id, gene_symbol, count(*) AS n FROM gene_de_list GROUP BY 1, 2), b AS (SELECT gene_id, gene_symbol, max(f_rank) AS top FROM gene_de_list WHERE NOT isnan(f_rank) GROUP BY 1, 2) SELECT a.gene_id, a.gene_symbol, n, round(top, 6) + 0.0 AS top FROM a JOIN b ON a.gene_id = b.gene_id AND a.gene_symbol IS NOT DISTINCT FROM b.gene_symbol")
+def natural_join(spark, d):
+    x = _t(spark, d, "gene_de_list")
+    a = x.groupBy(GENE, "gene_symbol").agg(F.count(F.lit(1)).alias("n"))
+    b = x.filter(~F.isnan("f_rank")).groupBy(GENE, "gene_symbol").agg(F.max("f_rank").alias("top"))
+    return relational.null_safe_join(a, b, [GENE, "gene_symbol"]).select(GENE, "gene_symbol", "n", _r("top", "top"))
+
+
+@query("SELECT vec_id AS cell_id, CASE WHEN vec_id % 5 = 0 THEN 'new' || (vec_id % 3) ELSE 'C' || label END AS label FROM embeddings")
+def scatter_labels(spark, d):
+    v = _vec(spark, d).select(CELL, "label", "batch")
+    return relational.scatter(v.select(CELL, "label"), v.filter(F.col(CELL) % 5 == 0).select(CELL, F.concat(F.lit("new"), "batch").alias("label")), CELL, "label")
+
+
+@query("SELECT g.gene_id, g.gene_idx::BIGINT AS gene_idx, n FROM genes g LEFT JOIN (SELECT gene_id, count(*) AS n FROM gene_de_list GROUP BY 1) x USING (gene_id)")
+def keyed_reorder(spark, d):
+    n = _t(spark, d, "gene_de_list").groupBy(GENE).agg(F.count(F.lit(1)).alias("n"))
+    return relational.reorder(n, _t(spark, d, "genes"), GENE, "gene_idx").select(GENE, F.col("gene_idx").cast("long").alias("gene_idx"), "n")
+
+
+@query("SELECT cell_id, dataset_id, patient, NULL::DOUBLE AS exprs FROM cells UNION ALL SELECT cell_id, dataset_id, NULL, exprs FROM expr WHERE NOT isnan(exprs) AND exprs > 5")
+def union_filled(spark, d):
+    x = _t(spark, d, "expr").filter(~F.isnan("exprs") & (F.col("exprs") > 5)).select(CELL, "dataset_id", "exprs")
+    return relational.union_filled([_t(spark, d, "cells").select(CELL, "dataset_id", "patient"), x]).select(CELL, "dataset_id", "patient", "exprs")
+
+
+@query(f"{E} SELECT gene_id, dataset_id, " + ", ".join(f"round(avg(x) FILTER (WHERE label = 'C{i}'), 6) + 0.0 AS C{i}" for i in range(10)) + " FROM e GROUP BY 1, 2")
+def melt_dcast(spark, d):
+    w = relational.group_average_wide(_expr(spark, d), [GENE, "dataset_id"], "label", "value", [f"C{i}" for i in range(10)])
+    return w.select(GENE, "dataset_id", *[_r(f"C{i}", f"C{i}") for i in range(10)])
+
+
+@query("SELECT m.mouse AS gene_id, x.cell_id, x.exprs FROM expr x JOIN (SELECT gene_id, 'm' || gene_id AS mouse FROM genes WHERE gene_idx % 3 = 0) m USING (gene_id)")
+def ortholog_map(spark, d):
+    from cellorium.sources.tables import map_orthologs
+
+    m = _t(spark, d, "genes").select(F.col(GENE).alias("human"), F.concat(F.lit("m"), GENE).alias("mouse"), F.when(F.col("gene_idx") % 3 == 0, "ortholog_one2one").otherwise("ortholog_one2many").alias("orthology_type"), F.lit(1).alias("orthology_confidence"))
+    return map_orthologs(_t(spark, d, "expr").select(GENE, CELL, "exprs"), m, "human", "mouse").select(GENE, CELL, "exprs")
+
+
 # ---- group statistics ---------------------------------------------------------------
 
 
@@ -682,6 +733,40 @@ def _labels(spark, d, method: str, **kw) -> DataFrame:
     return got.select(CELL, *[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in got.columns if c.startswith("emb.")])
 
 
+@query()
+def consensus_labels(spark, d):
+    return _labels(spark, d, "SC3")
+
+
+@query()
+def tsne_embedding(spark, d):
+    from cellorium.operators import embed
+
+    v = _vec(spark, d)
+    ids, x = reduce.collect_matrix(v)
+    return reduce.matrix_frame(v, ids, embed.run_tsne(x, max_iter=250))
+
+
+@query()
+def umap_embedding(spark, d):
+    from cellorium.operators import embed
+
+    v = _vec(spark, d)
+    ids, x = reduce.collect_matrix(v)
+    return reduce.matrix_frame(v, ids, embed.umap(x, epochs=50))
+
+
+@query()
+def top_meta_genes(spark, d):
+    return integrate.top_meta_genes(integrate.rank_genes(_studies(spark, d)), 30, 0.0, 0.5)
+
+
+@query()
+def signature_classes(spark, d):
+    got = classify.classify_by_signature(_set(spark, d), "exprs", _sig(spark).filter(F.col("meta_cluster") < "M3"), trees=20, train_pos=0.6)
+    return got.drop("rf_probs")
+
+
 @query()
 def forest_labels(spark, d):
     v = _vec(spark, d)
