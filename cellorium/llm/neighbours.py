@@ -34,7 +34,7 @@ TREES = 8
 #: Share of a tile's pairs from which candidates are verified by a matrix product.
 DENSE = 0.02
 #: Vectors from which the cuts of the trees are fitted; every vector is indexed.
-SAMPLE = 65_536
+SAMPLE = 32_768
 #: Half width of the zone around a cut that goes to both sides: for similarities from 0.9 on, below that, and per root of the share of empty positions.
 MARGIN, WIDE_MARGIN, MARGIN_EMPTY = 0.02, 0.1, 0.12
 
@@ -165,7 +165,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
     probe = vectors.select(vec) if frac >= 1 else vectors.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(frac * (1 << 20))).select(vec)
     fitted = []
     if depth:
-        u = unit_rows(to_matrix(probe.limit(sample).toPandas()[vec]))
+        u = unit_rows(to_matrix(probe.limit(sample).select(F.col(vec).cast("array<float>").alias("v")).toArrow().column("v"))).astype(np.float32)
         fitted = [_fit_tree(u, depth, seed + t) for t in range(trees)]
     else:
         trees = 1
