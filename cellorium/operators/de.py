@@ -17,23 +17,28 @@ from pyspark.sql import functions as F
 
 from cellorium.functions import special, udfs
 from cellorium.operators.relational import bh_adjust, downsample_per_group, fractional_rank, nan_to_null
+from cellorium.session import cut_lineage
 
 GENE = "gene_id"
 
 
-def moments(expr: DataFrame, value: str, by: Sequence[str], gene: str = GENE) -> DataFrame:
-    """(gene, by..., n_group, mean, ss): ss is the sum of squared deviations from the group's mean."""
+def moments(expr: DataFrame, value: str, by: Sequence[str], gene: str = GENE, positive: bool = False) -> DataFrame:
+    """(gene, by..., n_group, mean, ss): ss is the sum of squared deviations from the group's mean.
+
+    ``positive`` adds n_positive, the number of values over 0.
+    """
     x = nan_to_null(F.col(value))
-    return expr.groupBy(gene, *by).agg(F.count(x).alias("n_group"), F.avg(x).alias("mean"), F.coalesce(F.var_samp(x) * (F.count(x) - 1), F.lit(0.0)).alias("ss")).filter("n_group > 0")
+    more = [F.sum((x > 0).cast("long")).alias("n_positive")] if positive else []
+    return expr.groupBy(gene, *by).agg(*more, F.count(x).alias("n_group"), F.avg(x).alias("mean"), F.coalesce(F.var_samp(x) * (F.count(x) - 1), F.lit(0.0)).alias("ss")).filter("n_group > 0")
 
 
-def aov_f(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
+def aov_f(expr: DataFrame, value: str, group: str, gene: str = GENE, m: DataFrame | None = None) -> DataFrame:
     """(gene, n_total, n_groups, ss_between, ss_within, f_stat) of a one-way analysis of variance.
 
     Nulls are left out; f_stat is null with fewer than two groups, no residual
-    degrees of freedom or no residual variance.
+    degrees of freedom or no residual variance.  ``m``: moments made before.
     """
-    m = moments(expr, value, [group], gene)
+    m = moments(expr, value, [group], gene) if m is None else m
     w = Window.partitionBy(gene)
     m = m.withColumn("n_total", F.sum("n_group").over(w)).withColumn("grand", F.sum(F.col("n_group") * F.col("mean")).over(w) / F.col("n_total"))
     a = m.groupBy(gene).agg(F.max("n_total").alias("n_total"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("n_group") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ss_between"), F.sum("ss").alias("ss_within"))
@@ -41,8 +46,8 @@ def aov_f(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFram
     return a.withColumn("f_stat", F.when((d1 > 0) & (d2 > 0), (F.col("ss_between") / d1) / F.nullif(F.col("ss_within") / F.nullif(d2, F.lit(0)), F.lit(0.0))))
 
 
-def aov(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
-    f = aov_f(expr, value, group, gene)
+def aov(expr: DataFrame, value: str, group: str, gene: str = GENE, m: DataFrame | None = None) -> DataFrame:
+    f = aov_f(expr, value, group, gene, m)
     return f.withColumn("f_pvalue", udfs.f_sf(F.col("f_stat"), F.col("n_groups") - 1, F.col("n_total") - F.col("n_groups")))
 
 
@@ -105,9 +110,9 @@ def rank_sums(expr: DataFrame, value: str, group: str, gene: str = GENE) -> Data
     return s.select(F.col("__gene").alias(gene), F.col("__g").alias(group), "n_group", "rank_sum", F.sum("n_group").over(g).alias("n_total"), F.sum("ties").over(g).alias("tie_sum"))
 
 
-def kruskal_h(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
+def kruskal_h(expr: DataFrame, value: str, group: str, gene: str = GENE, r: DataFrame | None = None) -> DataFrame:
     """(gene, h_stat, n_groups): tie-corrected; null if all values are equal or there is one group."""
-    r = rank_sums(expr, value, group, gene)
+    r = rank_sums(expr, value, group, gene) if r is None else r
     a = r.groupBy(gene).agg(F.max("n_total").alias("n"), F.max("tie_sum").alias("ties"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.pow("rank_sum", F.lit(2)) / F.col("n_group")).alias("s"))
     n = F.col("n").cast("double")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
@@ -115,34 +120,35 @@ def kruskal_h(expr: DataFrame, value: str, group: str, gene: str = GENE) -> Data
     return a.select(gene, F.when(F.col("n_groups") > 1, h / F.nullif(fix, F.lit(0.0))).alias("h_stat"), "n_groups")
 
 
-def kruskal(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
-    return kruskal_h(expr, value, group, gene).withColumn("kruskal_pvalue", udfs.chi2_sf(F.col("h_stat"), F.col("n_groups") - 1))
+def kruskal(expr: DataFrame, value: str, group: str, gene: str = GENE, r: DataFrame | None = None) -> DataFrame:
+    return kruskal_h(expr, value, group, gene, r).withColumn("kruskal_pvalue", udfs.chi2_sf(F.col("h_stat"), F.col("n_groups") - 1))
 
 
-def pair_differences(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
+def pair_differences(expr: DataFrame, value: str, group: str, gene: str = GENE, m: DataFrame | None = None) -> DataFrame:
     """(gene, g_low, g_high, diff, n_low, n_high): mean of the later level minus mean of the earlier, all pairs of groups."""
-    m = moments(expr, value, [group], gene)
+    m = moments(expr, value, [group], gene) if m is None else m
     a = m.select(gene, F.col(group).alias("g_low"), F.col("mean").alias("m1"), F.col("n_group").alias("n_low"))
     b = m.select(gene, F.col(group).alias("g_high"), F.col("mean").alias("m2"), F.col("n_group").alias("n_high"))
     return a.join(b, gene).filter("g_low < g_high").select(gene, "g_low", "g_high", (F.col("m2") - F.col("m1")).alias("diff"), "n_low", "n_high")
 
 
-def tukey_hsd(expr: DataFrame, value: str, group: str, batch: str | None = None, gene: str = GENE) -> DataFrame:
+def tukey_hsd(expr: DataFrame, value: str, group: str, batch: str | None = None, gene: str = GENE, m: DataFrame | None = None) -> DataFrame:
     """Pairs with Tukey-Kramer adjusted p; with ``batch`` the additive model's error and degrees of freedom are used."""
-    d = pair_differences(expr, value, group, gene)
+    m = moments(expr, value, [group], gene) if m is None else m
+    d = pair_differences(expr, value, group, gene, m)
     if batch:
-        k = moments(expr, value, [group], gene).groupBy(gene).agg(F.count(F.lit(1)).alias("k"))
+        k = m.groupBy(gene).agg(F.count(F.lit(1)).alias("k"))
         err = aov_batch(expr, value, group, batch, gene).select(gene, "mse", F.col("df_residual").alias("df")).join(k, gene)
     else:
-        err = aov_f(expr, value, group, gene).select(gene, (F.col("ss_within") / F.nullif(F.col("n_total") - F.col("n_groups"), F.lit(0))).alias("mse"), (F.col("n_total") - F.col("n_groups")).alias("df"), F.col("n_groups").alias("k"))
+        err = aov_f(expr, value, group, gene, m).select(gene, (F.col("ss_within") / F.nullif(F.col("n_total") - F.col("n_groups"), F.lit(0))).alias("mse"), (F.col("n_total") - F.col("n_groups")).alias("df"), F.col("n_groups").alias("k"))
     q = F.abs("diff") / F.nullif(F.sqrt(F.col("mse") / 2 * (1 / F.col("n_low") + 1 / F.col("n_high"))), F.lit(0.0))
     return d.join(err, gene).withColumn("p_adj", udfs.ptukey_sf(q, F.col("k"), F.col("df"))).drop("mse", "df", "k")
 
 
-def kruskal_posthoc(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
+def kruskal_posthoc(expr: DataFrame, value: str, group: str, gene: str = GENE, r: DataFrame | None = None) -> DataFrame:
     """Conover's pairwise comparison of mean ranks, p adjusted (BH) inside a gene."""
-    r = rank_sums(expr, value, group, gene)
-    h = kruskal_h(expr, value, group, gene).select(gene, "h_stat", F.col("n_groups").alias("k"))
+    r = rank_sums(expr, value, group, gene) if r is None else r
+    h = kruskal_h(expr, value, group, gene, r).select(gene, "h_stat", F.col("n_groups").alias("k"))
     cols = lambda s, g: r.select(gene, F.col(group).alias(g), (F.col("rank_sum") / F.col("n_group")).alias(f"r{s}"), F.col("n_group").alias(f"n{s}"), *([F.col("n_total").cast("double").alias("n"), "tie_sum"] if s == 1 else []))
     p = cols(1, "g_low").join(cols(2, "g_high"), gene).filter("g_low < g_high").join(h, gene)
     n = F.col("n")
@@ -158,9 +164,9 @@ def best_pair(pairs: DataFrame, gene: str = GENE) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(gene, F.col("p_adj").alias("min_padj"), F.col("diff").alias("min_padj_diff"), F.concat_ws("-", "g_high", "g_low").alias("min_padj_cmp"))
 
 
-def top_two_groups(expr: DataFrame, value: str, group: str, gene: str = GENE) -> DataFrame:
+def top_two_groups(expr: DataFrame, value: str, group: str, gene: str = GENE, m: DataFrame | None = None) -> DataFrame:
     """(gene, g_first, g_second, mean_first, mean_second): the two groups of highest mean; ties by name."""
-    m = moments(expr, value, [group], gene)
+    m = moments(expr, value, [group], gene) if m is None else m
     w = Window.partitionBy(gene).orderBy(F.desc("mean"), group)
     r = m.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
     pick = lambda i, c: F.max(F.when(F.col("rn") == i, F.col(c)))
@@ -189,11 +195,13 @@ def specific_groups(pairs: DataFrame, theta: float, gene: str = GENE) -> DataFra
     return one.select(gene, hit.alias("is_specific"), F.when(hit, F.col("label")).alias("label"), F.when(hit, F.col("direction")).alias("direction"))
 
 
-def find_de_genes(expr: DataFrame, value: str, group: str, batch: str | None = None, f_fdr: float = 0.01, pair_fdr: float = 0.01, pair_diff: float = 1.0, use_kruskal: bool = False, f_only: bool = False, specific: bool = False, per_group: int | None = None, gene: str = GENE) -> DataFrame:
+def find_de_genes(expr: DataFrame, value: str, group: str, batch: str | None = None, f_fdr: float = 0.01, pair_fdr: float = 0.01, pair_diff: float = 1.0, use_kruskal: bool = False, f_only: bool = False, specific: bool = False, per_group: int | None = None, gene: str = GENE, m: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
     """The variance-analysis table of all genes with the flag ``significant``.
 
     Genes without any value > 0 are dropped.  Adjusted p-values over non-null ones.
-    Fewer than two groups raise.
+    Fewer than two groups raise.  Moments and rank sums (rows per gene and group)
+    are made once, in two passes over the cells, and kept in the shared folder;
+    ``m`` and ``r`` hand in those made before.
     """
     expr = expr.filter(F.col(group).isNotNull())
     if expr.select(group).distinct().limit(2).count() < 2:
@@ -201,13 +209,17 @@ def find_de_genes(expr: DataFrame, value: str, group: str, batch: str | None = N
     if per_group:
         cells = downsample_per_group(expr.select("cell_id", group).distinct(), [group], "cell_id", per_group)
         expr = expr.join(cells.select("cell_id"), "cell_id", "left_semi")
-    some = expr.groupBy(gene).agg(F.max((F.col(value) > 0).cast("int")).alias("p")).filter("p = 1").select(gene)
-    expr = expr.join(some, gene, "left_semi")
-    f = (aov_batch(expr, value, group, batch, gene) if batch else aov(expr, value, group, gene)).select(gene, "f_stat", "f_pvalue")
-    out = f.join(kruskal(expr, value, group, gene).select(gene, "h_stat", "kruskal_pvalue"), gene, "left")
+    if m is None:
+        m = cut_lineage(moments(expr, value, [group], gene, positive=True))
+    if r is None:
+        r = cut_lineage(rank_sums(expr, value, group, gene))
+    some = m.groupBy(gene).agg(F.max("n_positive").alias("p")).filter("p > 0").select(gene)
+    m, r = m.join(some, gene, "left_semi"), r.join(some, gene, "left_semi")
+    f = (aov_batch(expr.join(some, gene, "left_semi"), value, group, batch, gene) if batch else aov(expr, value, group, gene, m)).select(gene, "f_stat", "f_pvalue")
+    out = f.join(kruskal(expr, value, group, gene, r).select(gene, "h_stat", "kruskal_pvalue"), gene, "left")
     if not f_only:
-        pairs = kruskal_posthoc(expr, value, group, gene) if use_kruskal else tukey_hsd(expr, value, group, batch, gene)
-        out = out.join(best_pair(pairs, gene), gene, "left").join(top_pair_test(pairs, top_two_groups(expr, value, group, gene), gene), gene, "left")
+        pairs = kruskal_posthoc(expr, value, group, gene, r) if use_kruskal else tukey_hsd(expr, value, group, batch, gene, m)
+        out = out.join(best_pair(pairs, gene), gene, "left").join(top_pair_test(pairs, top_two_groups(expr, value, group, gene, m), gene), gene, "left")
         if specific:
             out = out.join(specific_groups(pairs, pair_fdr, gene), gene, "left")
     out = bh_adjust(bh_adjust(out, "f_pvalue", out="f_adjp"), "kruskal_pvalue", out="kruskal_adjp")
@@ -226,15 +238,16 @@ def rank_test_p(rank_sum: Column, n1: Column, n0: Column, ties: Column) -> Colum
     return udfs.norm_sf2((d - F.signum(d) * 0.5) / F.nullif(sd, F.lit(0.0)))
 
 
-def marker_auc(expr: DataFrame, value: str, group: str, by: str = "mean", gene: str = GENE) -> DataFrame:
+def marker_auc(expr: DataFrame, value: str, group: str, by: str = "mean", gene: str = GENE, m: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
     """(gene, cluster, auc, u_stat, n1, n0, tie_sum, rank_sum): the group of highest mean / median / mean rank against the rest.
 
     A tie for the highest: AUC -1 and the first group.
     """
-    r = rank_sums(expr, value, group, gene)
+    r = rank_sums(expr, value, group, gene) if r is None else r
     x = nan_to_null(F.col(value))
     if by == "mean":
-        r = r.join(expr.groupBy(gene, group).agg(F.avg(x).alias("score")), [gene, group])
+        m = moments(expr, value, [group], gene) if m is None else m
+        r = r.join(m.select(gene, group, F.col("mean").alias("score")), [gene, group])
     elif by == "median":
         r = r.join(expr.groupBy(gene, group).agg(F.median(x).alias("score")), [gene, group])
     elif by == "rank":
@@ -251,9 +264,9 @@ def marker_auc(expr: DataFrame, value: str, group: str, by: str = "mean", gene:
     return r.select(gene, F.col(group).alias("cluster"), F.when(tie, F.lit(-1.0)).otherwise(u / F.nullif(n1 * n0, F.lit(0))).alias("auc"), u.alias("u_stat"), n1.alias("n1"), n0.alias("n0"), "tie_sum", "rank_sum", tie.alias("tied"))
 
 
-def marker_test(expr: DataFrame, value: str, group: str, by: str = "mean", gene: str = GENE) -> DataFrame:
+def marker_test(expr: DataFrame, value: str, group: str, by: str = "mean", gene: str = GENE, m: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
     """marker_auc with the two-sided rank-sum p: exact for both sides under 50 without ties, else normal; 1 on a tie."""
-    a = marker_auc(expr, value, group, by, gene)
+    a = marker_auc(expr, value, group, by, gene, m, r)
     normal = rank_test_p(F.col("rank_sum"), F.col("n1"), F.col("n0"), F.col("tie_sum"))
     a = a.withColumn("p_normal", normal)
 
@@ -278,7 +291,9 @@ def marker_genes(expr: DataFrame, value: str, group: str, batch: str | None = No
         cells = downsample_per_group(expr.select("cell_id", group).distinct(), [group], "cell_id", per_group)
         expr = expr.join(cells.select("cell_id"), "cell_id", "left_semi")
     expr = expr.join(expressed_genes(expr, value, gene).select(gene), gene, "left_semi")
-    table = marker_test(expr, value, group, by, gene).join(find_de_genes(expr, value, group, batch, f_fdr, pair_fdr, pair_diff, use_kruskal, gene=gene), gene)
+    kept = expr.filter(F.col(group).isNotNull())
+    m, r = cut_lineage(moments(kept, value, [group], gene, positive=True)), cut_lineage(rank_sums(kept, value, group, gene))
+    table = marker_test(kept, value, group, by, gene, m, r).join(find_de_genes(kept, value, group, batch, f_fdr, pair_fdr, pair_diff, use_kruskal, gene=gene, m=m, r=r), gene)
     if not keep_all:
         table = table.filter("significant")
     table = bh_adjust(table, "score_p_value", out="score_q_value")
