@@ -261,10 +261,10 @@ def scatter_labels(spark, d):
     return relational.scatter(v.select(CELL, "label"), v.filter(F.col(CELL) % 5 == 0).select(CELL, F.concat(F.lit("new"), "batch").alias("label")), CELL, "label")
 
 
-@query("SELECT g.gene_id, g.gene_idx::BIGINT AS gene_idx, n FROM genes g LEFT JOIN (SELECT gene_id, count(*) AS n FROM gene_de_list GROUP BY 1) x USING (gene_id)")
+@query("SELECT g.gene_id, g.gene_idx::BIGINT AS gene_idx, coalesce(n, 0) AS n FROM genes g LEFT JOIN (SELECT gene_id, count(*) AS n FROM gene_de_list GROUP BY 1) x USING (gene_id)")
 def keyed_reorder(spark, d):
     n = _t(spark, d, "gene_de_list").groupBy(GENE).agg(F.count(F.lit(1)).alias("n"))
-    return relational.reorder(n, _t(spark, d, "genes"), GENE, "gene_idx").select(GENE, F.col("gene_idx").cast("long").alias("gene_idx"), "n")
+    return relational.reorder(n, _t(spark, d, "genes"), GENE, "gene_idx").select(GENE, F.col("gene_idx").cast("long").alias("gene_idx"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("SELECT cell_id, dataset_id, patient, NULL::DOUBLE AS exprs FROM cells UNION ALL SELECT cell_id, dataset_id, NULL, exprs FROM expr WHERE NOT isnan(exprs) AND exprs > 5")

@@ -24,7 +24,7 @@ def con(sf):
 
 def canonical(df: pd.DataFrame) -> list:
     def one(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
         return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
 
