@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows a task is meant to sort where ``partitions`` is not given.
+ROWS_PER_TASK = 2_000_000
+
 _STATE = "key_value string, pid int, n_rows long, n_values long, sum_value double, min_value double, max_value double, runs array<struct<sec:string,n:long>>, n_runs long, edge boolean"
 
 
@@ -123,15 +126,14 @@ def balanced_key_stats(df: DataFrame, key: str, secondary: str, value: str | Non
     frequencies: the smaller secondary value (null first).  Empty input gives no
     row.  Other columns are not read.
 
-    Every task sorts about the same number of rows whatever the key
-    distribution: a key of a third of all rows spreads over a third of the
+    Every task sorts about the same number of rows, at most about
+    ``ROWS_PER_TASK``, whatever the key distribution and the size of the input: a key of a third of all rows spreads over a third of the
     partitions.  Rows equal in key and secondary value would stay together
     under plain range partitioning, so a row hash is the last sort key; runs cut
     by it are joined again when boundary states are stitched.  At most two
     states per partition are stitched.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
     val = F.col(value).cast("double") if value else F.lit(None).cast("double")
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(secondary).cast("string").alias("s"), val.alias("v"), F.rand(7).alias("r"))
     ranged = rows.repartitionByRange(n, "k", "s", "r").select("k", "s", "v").sortWithinPartitions("k", "s").withColumn("pid", F.spark_partition_id())
