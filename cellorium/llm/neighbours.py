@@ -4,7 +4,9 @@ Every vector has one value per random projection.  Two vectors collide in a
 projection if one lies in the window centred on the other; windows start narrow
 and are widened by a factor (virtual rehashing: nothing is hashed anew).  A pair
 that collides in at least a share of the projections is verified by its exact
-similarity.
+similarity.  Empty positions move a vector by more than its similarity tells, and no
+window bounds by how much, so pairs with an empty position in either vector are
+verified without a window.
 
 Windows of single projections hold a fixed share of the collection (a tenth for
 the radius of interest), so over n vectors they alone would count n^2 pairs.
@@ -36,7 +38,7 @@ DENSE = 0.02
 #: Vectors from which the cuts of the trees are fitted; every vector is indexed.
 SAMPLE = 32_768
 #: Half width of the zone around a cut that goes to both sides: for similarities from 0.9 on, below that, and per root of the share of empty positions.
-MARGIN, WIDE_MARGIN, MARGIN_EMPTY = 0.02, 0.1, 0.12
+MARGIN, WIDE_MARGIN, MARGIN_EMPTY = 0.02, 0.1, 0.7
 
 
 def _fit_tree(u: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +87,26 @@ def _collide(p: np.ndarray, q: np.ndarray, width: float) -> np.ndarray:
     return n
 
 
+def _margins(x: np.ndarray, zone: float) -> np.ndarray:
+    """Half width of the shared zone for each row: wider the more of its positions are empty."""
+    return zone + MARGIN_EMPTY * np.sqrt((~np.isfinite(x)).mean(1))
+
+
+def _verify(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray | None, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of the pairs of ``rows`` and ``cols`` at or over ``min_sim`` among those hit (None: all)."""
+    if hit is None or hit.mean() > DENSE:  # many candidates: one matrix product instead of pair by pair
+        sim = cross_pearson(x[rows], x[cols])
+        ok = sim >= min_sim if hit is None else hit & (sim >= min_sim)
+        qi, cj = np.nonzero(ok)
+        return rows[qi], cols[cj], sim[qi, cj]
+    qi, cj = np.nonzero(hit)
+    qi, cj = rows[qi], cols[cj]
+    at = range(0, len(qi), 50_000)
+    sim = np.concatenate([pair_pearson(x[qi[a : a + 50_000]], x[cj[a : a + 50_000]]) for a in at]) if len(qi) else np.zeros(0)
+    ok = sim >= min_sim
+    return qi[ok], cj[ok], sim[ok]
+
+
 def _search_block(x: np.ndarray, k: int, min_sim: float, seed: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, similarity) of verified pairs: for each i its k best at or over ``min_sim`` in the block."""
     u = unit_rows(x).astype(np.float32)
@@ -95,33 +117,34 @@ def _search_block(x: np.ndarray, k: int, min_sim: float, seed: int, tile: int =
     far = np.sqrt(2 * max(1 - min_sim, 1e-4))
     # width of window = 1.5 standard deviations of the projected distance at the radius
     radii = [far] if far <= 0.35 else [far * f for f in (0.5, 0.7, 0.85, 1.0)]
+    gappy = ~np.isfinite(x).all(1)
+    gaps, full = np.flatnonzero(gappy), np.flatnonzero(~gappy)
+    tile = max(32, min(tile, (1 << 20) // max(len(x), 1)))
     out_i, out_j, out_s = [], [], []
     for s in range(0, len(x), tile):
         todo = np.arange(s, min(s + tile, len(x)))
+        sure = [_verify(x, todo[gappy[todo]], np.arange(len(x)), None, min_sim), _verify(x, todo[~gappy[todo]], gaps, None, min_sim)]
         for r in radii:
-            hit = _collide(p, p[todo], np.float32(1.5 * r)) >= need
-            hit[np.arange(len(todo)), todo] = False
-            qi, cj = np.nonzero(hit)
-            if hit.mean() > DENSE:  # many candidates: one matrix product instead of pair by pair
-                sim = cross_pearson(x[todo], x)[qi, cj]
-            else:
-                at = range(0, len(qi), 50_000)
-                sim = np.concatenate([pair_pearson(x[todo[qi[a : a + 50_000]]], x[cj[a : a + 50_000]]) for a in at]) if len(qi) else np.zeros(0)
-            ok = sim >= min_sim
+            own = todo[~gappy[todo]]
+            hit = _collide(p[full], p[own], np.float32(1.5 * r)) >= need
+            found = [*sure, _verify(x, own, full, hit, min_sim)] if hit.size else sure
+            qi, cj, sim = (np.concatenate(v) for v in zip(*found))
+            ok = qi != cj
             qi, cj, sim = qi[ok], cj[ok], sim[ok]
             last = r == radii[-1]
-            within = np.bincount(qi[sim >= 1 - r * r / 2], minlength=len(todo))
-            done = np.ones(len(todo), bool) if last else within >= k
+            within = np.bincount(qi[sim >= 1 - r * r / 2], minlength=len(x))
+            done = np.zeros(len(x), bool)
+            done[todo] = True if last else within[todo] >= k
             take = done[qi]
             qi, cj, sim = qi[take], cj[take], sim[take]
             order = np.lexsort((cj, -sim, qi))
             qi, cj, sim = qi[order], cj[order], sim[order]
             rank = np.arange(len(qi)) - np.searchsorted(qi, qi, "left")
             best = rank < k
-            out_i.append(todo[qi[best]])
+            out_i.append(qi[best])
             out_j.append(cj[best])
             out_s.append(sim[best])
-            todo = todo[~done]
+            todo = todo[~done[todo]]
             if not len(todo):
                 break
     cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
@@ -135,7 +158,7 @@ def _sub_blocks(x: np.ndarray, limit: int, seed: int, margin: float = MARGIN) ->
     depth = int(np.ceil(np.log2(len(x) / (limit / 2))))
     u = unit_rows(x)
     dirs, cuts = _fit_tree(u, depth, seed)
-    row, leaf = _route(u, np.full(len(x), margin), dirs, cuts)
+    row, leaf = _route(u, _margins(x, margin), dirs, cuts)
     order = np.argsort(leaf, kind="stable")
     return np.split(row[order], np.flatnonzero(np.diff(leaf[order])) + 1)
 
@@ -176,7 +199,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
             if not len(x):
                 continue
             u = unit_rows(x)
-            margin = zone + MARGIN_EMPTY * np.sqrt((~np.isfinite(x)).mean(1))
+            margin = _margins(x, zone)
             rows, leaves, tree = [], [], []
             for t in range(trees):
                 r, lf = _route(u, margin, *fitted[t]) if fitted else (np.arange(len(x)), np.zeros(len(x), np.int64))

@@ -67,6 +67,23 @@ def test_recall_of_neighbours(spark, least, block):
     assert all(len(v) <= 10 for v in got.values())
 
 
+@pytest.mark.parametrize("empties", [16, 24, 32])
+def test_recall_of_gappy_vectors(spark, empties):
+    x, _ = _planted(2000, seed=7)
+    rs = np.random.RandomState(empties)
+    for i in range(1000, 1300, 2):
+        x[i] = np.where(np.isfinite(x[i]), x[i], 1.0)
+        x[i + 1] = x[i] + 0.05 * rs.randn(64)
+        x[i + 1, rs.permutation(64)[:empties]] = np.nan
+    df = _df(spark, [(f"c{i:05d}", [None if np.isnan(a) else a for a in v], T) for i, v in enumerate(x)])
+    got = {(int(r["query"][1:]), int(r["neighbour"][1:])) for r in neighbours.k_nearest(df, "cell_id", "exprs", 10, 0.96, block=128).collect()}
+    want = {(i, j) for i, w in _brute(x, 10, 0.96).items() for j in w if 1000 <= min(i, j) and max(i, j) < 1300}
+    assert len(want) >= 290 and len(want & got) / len(want) >= 0.95
+    rows = neighbours._sub_blocks(np.tile(x[1000:1300], (2, 1)), 200, 3)
+    met = sum(any({i, i + 1} <= set(part) for part in rows) for i in range(0, 300, 2))
+    assert met >= 75
+
+
 def test_mutual_pairs_with_copies(spark):
     x, _ = _planted(600, seed=4)
     rows = [(f"c{i:05d}", [None if np.isnan(a) else a for a in v], T) for i, v in enumerate(x)]
