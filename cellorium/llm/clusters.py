@@ -2,8 +2,8 @@
 
 A cluster feature is (count, linear sum, squared sum) of the vectors it has
 absorbed.  Each task builds a tree of features over its vectors and hands on its
-leaves; leaves of several tasks are merged in rounds; the last, bounded set of
-leaves is agglomerated by Ward's criterion on the driver, and one pass assigns
+leaves; leaves of several tasks are merged in rounds; the last set of leaves,
+as many as the groups need, is agglomerated by Ward's criterion on the driver, and one pass assigns
 every vector to the nearest cluster average.
 """
 
@@ -18,15 +18,21 @@ from pyspark.sql import functions as F
 
 from cellorium.llm.vectors import cross_pearson, to_matrix, unit_rows
 
-#: Squared radius a leaf may have, leaves a tree may have, leaves under one inner node.
+#: Squared radius a leaf may have, leaves a tree may have, leaves under one inner node; the first two to start with.
 RADIUS2, MAX_LEAVES, FANOUT = 0.30, 512, 32
 
 
 class CFTree:
-    """Two-level tree of cluster features: inner nodes route to leaves; rebuilt with a larger radius when full."""
+    """Two-level tree of cluster features: inner nodes route to leaves; rebuilt with a larger radius when full.
 
-    def __init__(self, dim: int, radius2: float = RADIUS2, max_leaves: int = MAX_LEAVES, fanout: int = FANOUT):
-        self.dim, self.radius2, self.max_leaves, self.fanout = dim, radius2, max_leaves, fanout
+    With ``least_corr`` a leaf takes only features that correlate with its average
+    by that much, and no radius passes 1 - least_corr (two groups whose averages
+    correlate by less have a larger one together): a tree that is still full then
+    gets twice the leaves it needs, so no group is merged away for want of leaves.
+    """
+
+    def __init__(self, dim: int, radius2: float = RADIUS2, max_leaves: int = MAX_LEAVES, fanout: int = FANOUT, least_corr: float | None = None):
+        self.dim, self.radius2, self.max_leaves, self.fanout, self.least_corr = dim, radius2, max_leaves, fanout, least_corr
         self._clear()
 
     def _clear(self) -> None:
@@ -57,9 +63,15 @@ class CFTree:
     def _absorb(self, leaf, left, n, ls, ss) -> np.ndarray:
         """Add to each leaf as many of its features, nearest first, as keep its radius; True for those added."""
         cen = self._centres()
-        dist = ((ls[left] / n[left][:, None] - cen[leaf]) ** 2).sum(1)
+        own = ls[left] / n[left][:, None]
+        dist = ((own - cen[leaf]) ** 2).sum(1)
         order = np.lexsort((dist, leaf))
         ok = np.zeros(len(left), bool)
+        if self.least_corr is not None:
+            norm = np.sqrt((own**2).sum(1) * (cen[leaf] ** 2).sum(1))
+            order = order[((own * cen[leaf]).sum(1) >= self.least_corr * norm)[order]]
+            if not len(order):
+                return ok
         cuts = np.r_[0, np.flatnonzero(np.diff(leaf[order])) + 1, len(order)]
         for s, e in zip(cuts[:-1], cuts[1:]):
             own, lf = order[s:e], leaf[order[s]]
@@ -85,6 +97,10 @@ class CFTree:
             leaf = self._route(ls[left] / n[left][:, None])
             ok = self._absorb(leaf, left, n, ls, ss)
             left = left[~ok]
+            if len(left) and self.least_corr is not None:  # the nearest leaf may lie under another inner node
+                cen = self._centres()
+                leaf = np.argmax((ls[left] / n[left][:, None]) @ cen.T - 0.5 * (cen**2).sum(1), axis=1)
+                left = left[~self._absorb(leaf, left, n, ls, ss)]
             if len(left):  # the first that fits nowhere becomes a leaf, the others are tried again
                 seeds = left[: max(1, len(left) // 64)]
                 self._add(n[seeds], ls[seeds], ss[seeds])
@@ -110,10 +126,17 @@ class CFTree:
 
     def _rebuild(self) -> None:
         n, ls, ss = self.n, self.ls, self.ss
-        self.radius2 *= 1.15
+        most = np.inf if self.least_corr is None else max(1 - self.least_corr, RADIUS2)
+        full = self.radius2 >= most
+        if full:
+            self.max_leaves *= 2
+        else:
+            self.radius2 = min(1.15 * self.radius2, most)
         self._clear()
         order = np.argsort(-n, kind="stable")
         self.insert(n[order], ls[order], ss[order])
+        if full:
+            self.max_leaves = max(self.max_leaves // 2, 2 * len(self.n))
 
 
 def _leaf_batch(tree: CFTree) -> pa.RecordBatch:
@@ -137,10 +160,15 @@ def ward(n: np.ndarray, ls: np.ndarray, least_corr: float = 0.5) -> np.ndarray:
         w[i] = np.inf
         return w
 
-    cost = np.stack([costs(i) for i in range(k)]) if k else np.zeros((0, 0))
+    cost = np.full((k, k), np.inf)
+    for i in range(k):
+        cost[i] = costs(i)
+    near = cost.argmin(1) if k else np.zeros(0, np.int64)
+    least = cost[np.arange(k), near]
     for _ in range(k - 1):
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        if not np.isfinite(cost[i, j]):
+        i = int(np.argmin(least))
+        j = int(near[i])
+        if not np.isfinite(least[i]):
             break
         i, j = min(i, j), max(i, j)
         n[i] += n[j]
@@ -149,6 +177,13 @@ def ward(n: np.ndarray, ls: np.ndarray, least_corr: float = 0.5) -> np.ndarray:
         label[label == j] = i
         cost[j, :] = cost[:, j] = np.inf
         cost[i, :] = cost[:, i] = costs(i)
+        again = (near == i) | (near == j)
+        again[[i, j]] = True
+        closer = ~again & ((cost[i] < least) | ((cost[i] == least) & (i < near)))
+        near[closer], least[closer] = i, cost[i, closer]
+        at = np.flatnonzero(again)
+        near[at] = cost[at].argmin(1)
+        least[at] = cost[at, near[at]]
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -162,8 +197,9 @@ def similarity_clusters(vectors: DataFrame, key: str, vec: str, least_corr: floa
     the average (ties by key).  Averages of two clusters correlate by less than
     ``least_corr``.  Cluster numbers follow the size of the merged features.  Empty input: both are empty.
 
-    The driver holds at most ``max_leaves`` features whatever the input; the
-    averages broadcast with the assignment are at most as many.
+    Trees start with ``max_leaves`` leaves and get more where the groups need more;
+    the driver holds the last leaves and a matrix of their pairs, so its memory
+    grows with the number of groups and of vectors like no other, squared.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +208,7 @@ def similarity_clusters(vectors: DataFrame, key: str, vec: str, least_corr: floa
             u = unit_rows(to_matrix(b.column(0)))
             if not len(u):
                 continue
-            tree = tree or CFTree(u.shape[1], max_leaves=max_leaves)
+            tree = tree or CFTree(u.shape[1], max_leaves=max_leaves, least_corr=least_corr)
             tree.insert(np.ones(len(u)), u, (u**2).sum(1))
         if tree is not None:
             yield _leaf_batch(tree)
@@ -181,7 +217,7 @@ def similarity_clusters(vectors: DataFrame, key: str, vec: str, least_corr: floa
         ls = to_matrix(t.column("ls"))
         n, ss = t.column("n").to_numpy(), t.column("ss").to_numpy()
         order = np.lexsort((*ls.T[:4], -n))  # the same order whatever task came first
-        tree = CFTree(ls.shape[1], max_leaves=max_leaves)
+        tree = CFTree(ls.shape[1], max_leaves=max_leaves, least_corr=least_corr)
         tree.insert(n[order], ls[order], ss[order])
         return pa.Table.from_batches([_leaf_batch(tree)])
 

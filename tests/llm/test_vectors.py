@@ -130,6 +130,19 @@ def test_clusters_found(spark):
     assert (t.groupby("cluster_no").size() == 5).all() and t.n_members.iloc[0] == sum(c == t.cluster_no.iloc[0] for c in lab.values())
 
 
+def test_more_groups_than_leaves(spark):
+    rs = np.random.RandomState(5)
+    c = rs.randn(900, 64)
+    c = c[(np.triu(np.corrcoef(c), 1) > 0.4).sum(0) == 0][:540]
+    g = np.repeat(np.arange(540), 8)
+    df = _df(spark, [(f"c{i:05d}", v, T) for i, v in enumerate(c[g] + 0.7 * rs.randn(len(g), 64))]).repartition(2)
+    assigned, _ = clusters.similarity_clusters(df, "cell_id", "exprs")
+    lab = {int(r["cell_id"][1:]): r["cluster_no"] for r in assigned.collect() if r["cluster_no"] is not None}
+    pairs = {(g[i], k) for i, k in lab.items()}
+    assert len(lab) == len(g) and len(pairs) == len({p[0] for p in pairs}) == 540
+    assert len({p[1] for p in pairs}) >= 535  # close groups of eight may still share a leaf
+
+
 def test_clusters_of_nothing_and_of_copies(spark):
     a, t = clusters.similarity_clusters(_df(spark, []), "cell_id", "exprs")
     assert a.count() == 0 and t.count() == 0
