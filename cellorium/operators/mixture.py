@@ -8,35 +8,33 @@ from pyspark.sql import DataFrame
 
 from cellorium.functions import special
 
-#: Values a fit is made from; a longer vector is fitted on that many evenly spaced order statistics, all values are classified.
-MAX_FIT = 20_000
-
 
 def _log_norm(x, mu, var):
     return -0.5 * (np.log(2 * np.pi * var) + (x - mu) ** 2 / var)
 
 
 def fit_mixture(x: np.ndarray, g: int, equal: bool, rounds: int = 300) -> dict | None:
-    """EM from quantile groups; components in order of mean.  None if a component dies."""
-    x = np.sort(x)
-    if len(np.unique(x)) < g or len(x) <= g:
+    """EM from quantile groups over all values, equal ones by their count; components in order of mean.  None if a component dies."""
+    v, w = np.unique(x, return_counts=True)
+    if len(v) < g or len(x) <= g:
         return None
-    z = np.zeros((len(x), g))
-    for j, part in enumerate(np.array_split(np.arange(len(x)), g)):
-        z[part, j] = 1
+    ends = np.cumsum(w)
+    upto = np.cumsum([len(x) // g + (j < len(x) % g) for j in range(g)])
+    z = np.diff(np.clip(upto, (ends - w)[:, None], ends[:, None]), axis=1, prepend=(ends - w)[:, None]) / w[:, None]
     floor = max(1e-10, 1e-6 * x.var())
     last = -np.inf
     for _ in range(rounds):
-        n = z.sum(0)
+        zw = z * w[:, None]
+        n = zw.sum(0)
         if (n < 1e-6).any():
             return None
-        pi, mu = n / len(x), z.T @ x / n
-        var = (z * (x[:, None] - mu) ** 2).sum(0) / n
+        pi, mu = n / len(x), zw.T @ v / n
+        var = (zw * (v[:, None] - mu) ** 2).sum(0) / n
         var = np.full(g, (var * n).sum() / len(x)) if equal else var
         var = np.maximum(var, floor)
-        lp = np.log(pi) + _log_norm(x[:, None], mu, var)
+        lp = np.log(pi) + _log_norm(v[:, None], mu, var)
         top = lp.max(1, keepdims=True)
-        ll = float((top[:, 0] + np.log(np.exp(lp - top).sum(1))).sum())
+        ll = float(w @ (top[:, 0] + np.log(np.exp(lp - top).sum(1))))
         z = np.exp(lp - top)
         z /= z.sum(1, keepdims=True)
         if abs(ll - last) < 1e-8 * (1 + abs(ll)):
@@ -77,11 +75,6 @@ def qq_r2(x: np.ndarray, fit: dict) -> float:
     return float(np.corrcoef(x, q)[0, 1] ** 2) if n > 2 and x.std() > 0 and q.std() > 0 else np.nan
 
 
-def _fit_part(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x if len(x) <= MAX_FIT else x[np.linspace(0, len(x) - 1, MAX_FIT).astype(int)]
-
-
 def binarize_vector(x: np.ndarray, g: int | None = None, top_hi: int = 1, threshold: float | None = None, zero_low: bool = True, zero_not_used: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(state in {0, 0.5, 1, -1}, component): -1 for values not usable, and for all if fewer than three are.
 
@@ -98,7 +91,7 @@ def binarize_vector(x: np.ndarray, g: int | None = None, top_hi: int = 1, thresh
         return state, comp
     fit = None
     if ok.sum() >= 3:
-        fit = best_mixture(_fit_part(x[ok])) if g is None else max((f for e in (True, False) if (f := fit_mixture(_fit_part(x[ok]), g, e))), key=lambda f: f["bic"], default=None)
+        fit = best_mixture(x[ok]) if g is None else max((f for e in (True, False) if (f := fit_mixture(x[ok], g, e))), key=lambda f: f["bic"], default=None)
     if fit is not None:
         c = posterior_class(x[ok], fit)
         comp[ok] = c
@@ -125,8 +118,8 @@ def binarize_vector(x: np.ndarray, g: int | None = None, top_hi: int = 1, thresh
 def binarize(df: DataFrame, key: str, sample: str, x: str, **kw) -> DataFrame:
     """(key, sample, x, state, component) for every key; repeated samples keep their rows.
 
-    One model per key in its group's task; fits use at most MAX_FIT order
-    statistics, so the work per key is bounded apart from one sort.
+    One model per key, fitted on all its values in its group's task; the work per
+    key grows with its distinct values.
     """
     kinds = dict(df.dtypes)
 

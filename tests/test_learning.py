@@ -166,6 +166,14 @@ def test_silhouette_and_agreement(spark):
     assert metrics.ari(e, "a", "b").first()[0] == pytest.approx(-1 / 9, abs=0.2)
 
 
+def test_mixture_uses_all_values():
+    rs = np.random.RandomState(3)
+    x = np.r_[rs.randn(60_000), 2.5 + 0.5 * rs.randn(600)]
+    full = max((mixture.fit_mixture(x, 2, e) for e in (True, False)), key=lambda f: f["bic"])
+    _, c = mixture.binarize_vector(x, g=2)
+    assert (c == mixture.posterior_class(x, full)).all()
+
+
 def test_mixture_states():
     rs = np.random.RandomState(0)
     x = np.r_[rs.normal(0, 0.3, 200), rs.normal(5, 0.3, 100)]
