@@ -562,6 +562,14 @@ def combine_effects(spark, d):
     return de.combine_effects(v, ["cluster"]).select("cluster", _r("es_combi", "es_combi"), _r("es_combi_sd", "es_combi_sd"))
 
 
+@query(f"""{E}, g AS (SELECT gene_id, label AS cluster, batch FROM e GROUP BY 1, 2, 3), v AS (SELECT g.gene_id, g.cluster, g.batch, count(*) FILTER (WHERE e.label = g.cluster)::DOUBLE AS n1, count(*) FILTER (WHERE e.label <> g.cluster)::DOUBLE AS n0, avg(x) FILTER (WHERE e.label = g.cluster) AS m1, avg(x) FILTER (WHERE e.label <> g.cluster) AS m0, var_samp(x) FILTER (WHERE e.label = g.cluster) AS s1, var_samp(x) FILTER (WHERE e.label <> g.cluster) AS s0 FROM g JOIN e ON e.gene_id = g.gene_id AND e.batch = g.batch GROUP BY 1, 2, 3), w AS (SELECT *, (m1 - m0) / sqrt((coalesce((n1 - 1) * s1, 0) + coalesce((n0 - 1) * s0, 0)) / (n1 + n0 - 2)) AS dp FROM v), y AS (SELECT gene_id, cluster, dp, (n1 + n0) / (n1 * n0) + dp * dp / (2 * (n1 + n0)) AS vd FROM w)
+SELECT cluster, gene_id, round(sum(dp / vd) / sum(1 / vd), 6) + 0.0 AS es_combi, round(1 / sqrt(sum(1 / vd)), 6) + 0.0 AS es_combi_sd FROM y GROUP BY 1, 2""")
+def combine_effects_studies(spark, d):
+    """Effects of all three batches, combined per cluster and gene."""
+    v = _studies(spark, d).withColumnRenamed("meta_cluster", "cluster")
+    return de.combine_effects(v, ["cluster", GENE]).select("cluster", GENE, _r("es_combi", "es_combi"), _r("es_combi_sd", "es_combi_sd"))
+
+
 @query()
 def integrate_datasets(spark, d):
     es = _set(spark, d)
