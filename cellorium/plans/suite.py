@@ -752,7 +752,7 @@ def tsne_embedding(spark, d):
 
     v = _vec(spark, d)
     ids, x = reduce.collect_matrix(v)
-    return reduce.matrix_frame(v, ids, embed.run_tsne(x, max_iter=250))
+    return reduce.matrix_frame(v, ids, embed.run_tsne(x))
 
 
 @query()

@@ -213,3 +213,12 @@ def test_pipeline_labels(spark):
     two = run(es, method_reduction="pca", method_clust="kmeans", ks=[3], sd_n=6, n_pc=3, n_iter=2, params={"L1C1.L1C02": {"k": 2}}).cells.toPandas().sort_values("cell_id")
     names = set(two["pca.kmeans.k3"])
     assert all(n.startswith("L1C1.L1C") and ".L2C" in n for n in names) and len(names) > 3
+
+
+def test_tsne_query_passes_early_exaggeration(spark, sf, monkeypatch):
+    from cellorium.plans import suite
+
+    seen = {}
+    monkeypatch.setattr(embed, "tsne", lambda x, dims=2, perplexity=30.0, max_iter=1000, early_stop=250: seen.update(it=max_iter, early=early_stop) or np.zeros((len(x), 2)))
+    suite.tsne_embedding(spark, sf)
+    assert seen["it"] == 1000 > seen["early"]
