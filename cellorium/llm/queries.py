@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellorium.llm import clusters, language, leaks, neighbours, packing, quantiles, quota, topn, vectors
@@ -51,9 +51,9 @@ def _p3_values(spark: SparkSession, d: str) -> DataFrame:
 
 def _p3_sketched(values: DataFrame) -> DataFrame:
     """Days with their own percentiles and those of the whole data set beside them."""
-    s = quantiles.percentile_sketches(values, "k", "day", "x", F.col("lo"), F.col("hi"), (0.5, 0.9))
+    s = quantiles.percentile_sketches(values, "k", "day", "x", F.col("lo"), F.col("hi"), (0.5, 0.9), log_scale=True)
     w = Window.partitionBy("k")
-    for c in ("q0", "q0_lo", "q0_hi"):
+    for c in ("n", "q0", "q0_lo", "q0_hi", "q0_from", "q0_to"):
         s = s.withColumn(f"w_{c}", F.max(F.when(F.col("day").isNull(), F.col(c))).over(w))
     return s.filter(F.col("day").isNotNull()).withColumn("field_name", F.split("k", "\u0002")[0])
 
@@ -64,20 +64,51 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return s.select("field_name", F.split("k", "\u0002")[1].alias("dataset_id"), F.col("day").alias("run_day"), "n", F.col("q0").alias("median"), F.col("q0_lo").alias("median_lo"), F.col("q0_hi").alias("median_hi"), F.col("q1").alias("p90"), F.col("q1_lo").alias("p90_lo"), F.col("q1_hi").alias("p90_hi"), F.col("w_q0").alias("whole_median"))
 
 
+def _p3_limit(i: int) -> Column:
+    return F.when(F.col("field_name") == "exprs", F.lit(_P3["exprs"][i])).otherwise(F.lit(_P3["median_f_rank"][i]))
+
+
+def _p3_judged(s: DataFrame) -> DataFrame:
+    """``hit``: whether the day differs from its data set; null where the sketches' bounds leave it open."""
+    median, tail = _p3_limit(6), _p3_limit(7)
+    low, high = F.col("q0_lo") - F.col("w_q0_hi"), F.col("q0_hi") - F.col("w_q0_lo")
+    sure = (low > median) | (high < -median) | (F.col("q1_lo") - F.col("w_q0_hi") > tail)
+    never = (high <= median) & (low >= -median) & (F.col("q1_hi") - F.col("w_q0_lo") <= tail)
+    return s.withColumn("hit", F.when(sure, True).when(never, False))
+
+
+def _p3_wanted(s: DataFrame) -> DataFrame:
+    """The percentiles that decide days: their own, and the medians of their data sets."""
+    own = lambda i, q: s.select("k", "day", F.lit(i).alias("i"), F.lit(q).alias("q"), "n", F.col(f"q{i}_from").alias("a"), F.col(f"q{i}_to").alias("b"))
+    whole = s.select("k", F.lit(None).cast("string").alias("day"), F.lit(0).alias("i"), F.lit(0.5).alias("q"), F.col("w_n").alias("n"), F.col("w_q0_from").alias("a"), F.col("w_q0_to").alias("b"))
+    return own(0, 0.5).unionByName(own(1, 0.9)).unionByName(whole.distinct())
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Days that differ from their data set: candidates by the sketches' bounds, then an exact check of these."""
+    """Days that differ from their data set: by the sketches' bounds; the few they leave open by counting inside these bounds."""
+    values = _p3_values(spark, d)
+    s = cut_lineage(_p3_judged(_p3_sketched(values)))
+    hits = s.filter("hit").select("k", "day", "field_name")
+    undecided = s.filter("hit IS NULL")
+    if not undecided.isEmpty():
+        v = quantiles.exact_percentiles(values, _p3_wanted(undecided))
+        own = undecided.select("k", "day", "field_name")
+        for i, day, name in ((0, True, "m"), (1, True, "p"), (0, False, "w")):
+            part = v.filter((F.col("i") == i) & (F.col("day").isNotNull() if day else F.col("day").isNull())).withColumnRenamed("value", name)
+            own = own.join(part.select("k", "day", name) if day else part.select("k", name), ["k", "day"] if day else "k")
+        own = own.filter((F.abs(F.col("m") - F.col("w")) > _p3_limit(6)) | (F.col("p") - F.col("w") > _p3_limit(7)))
+        hits = hits.unionByName(own.select("k", "day", "field_name"))
+    return hits.select("field_name", F.split("k", "\u0002")[1].alias("dataset_id"), F.col("day").alias("run_day"))
+
+
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Exact median and 90th percentile of every data set's every day, found by counting inside the sketches' bounds."""
     values = _p3_values(spark, d)
-    s = _p3_sketched(values)
-    pick = lambda i: F.when(F.col("field_name") == "exprs", F.lit(_P3["exprs"][i])).otherwise(F.lit(_P3["median_f_rank"][i]))
-    apart = F.greatest(F.col("q0_hi") - F.col("w_q0_lo"), F.col("w_q0_hi") - F.col("q0_lo"))
-    maybe = s.filter((apart > pick(6)) | (F.col("q1_hi") - F.col("w_q0_lo") > pick(7)))
-    maybe = cut_lineage(maybe.select("k", "day", "field_name"))
-    n = values.join(maybe.select("k").distinct(), "k", "left_semi").groupBy("k", "day", "x").agg(F.count(F.lit(1)).alias("n"))
-    whole = n.groupBy("k").agg(F.expr("percentile(x, 0.5, n)").alias("w"))
-    days = n.join(maybe, ["k", "day"]).groupBy("k", "day", "field_name").agg(F.expr("percentile(x, array(0.5, 0.9), n)").alias("q"))
-    both = days.join(whole, "k")
-    hit = (F.abs(F.col("q")[0] - F.col("w")) > pick(6)) | (F.col("q")[1] - F.col("w") > pick(7))
-    return both.filter(hit).select("field_name", F.split("k", "\u0002")[1].alias("dataset_id"), F.col("day").alias("run_day"))
+    s = cut_lineage(_p3_sketched(values))
+    v = quantiles.exact_percentiles(values, _p3_wanted(s).filter(F.col("day").isNotNull()))
+    at = lambda i: F.round(F.max(F.when(F.col("i") == i, F.col("value"))), 6)
+    q = v.groupBy("k", "day").agg(at(0).alias("median"), at(1).alias("p90")).join(s.select("k", "day", "field_name", "n"), ["k", "day"])
+    return q.select("field_name", F.split("k", "\u0002")[1].alias("dataset_id"), F.col("day").alias("run_day"), "n", "median", "p90")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -161,4 +192,4 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p3_found, p3_percentiles, p4_found, p4_report, p4_sample, p6_found, p6_clusters, p7_found, p7_containers, p8_found, p8_regions, p9_found, p9_documents)}
+    return {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p3_found, p3_percentiles, p3_exact, p4_found, p4_report, p4_sample, p6_found, p6_clusters, p7_found, p7_containers, p8_found, p8_regions, p9_found, p9_documents)}

@@ -35,6 +35,7 @@ p AS (SELECT a.cell_id AS a, b.cell_id AS b, corr(a.x, b.x) AS r FROM g a JOIN g
 d AS (SELECT a, b, r FROM p UNION ALL SELECT b, a, r FROM p), t AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY r DESC, b) <= 10)
 SELECT x.a AS cell_a, x.b AS cell_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
         "p3_found": f"WITH {_P3} SELECT d.f AS field_name, d.ds AS dataset_id, d.dy AS run_day FROM d JOIN w USING (f, ds) WHERE (f = 'exprs' AND (abs(d.m - w.m) > 0.8 OR d.q - w.m > 4.5)) OR (f <> 'exprs' AND (abs(d.m - w.m) > 0.15 OR d.q - w.m > 0.42))",
+        "p3_exact": f"WITH {_P3}, n AS (SELECT f, ds, dy, count(*) AS n FROM v GROUP BY 1, 2, 3) SELECT d.f AS field_name, d.ds AS dataset_id, d.dy AS run_day, n, round(d.m, 6) AS median, round(d.q, 6) AS p90 FROM d JOIN n USING (f, ds, dy)",
         "p4_found": f"WITH {_SUPPLY} SELECT target_id FROM t WHERE supply < target_share * sample_size OR supply < min_cells",
         "p4_report": f"""WITH {_SUPPLY}, x AS (SELECT *, round(sum(ideal) OVER w) - sum(low) OVER w AS spare, row_number() OVER (PARTITION BY dataset_id, field_name ORDER BY ideal - low DESC, target_id) AS nth FROM t WINDOW w AS (PARTITION BY dataset_id, field_name)),
 y AS (SELECT *, (low + (nth <= spare)::INT)::BIGINT AS wanted FROM x), z AS (SELECT *, greatest(wanted, coalesce(min_cells, 0)) AS need FROM y)

@@ -90,6 +90,44 @@ def test_percentiles_nulls_weights_empty(spark):
     assert quantiles.percentile_sketches(spark.createDataFrame([], ddl), "k", "d", "x", 0, 100).count() == 0
 
 
+def test_bounds_stay_inside_the_exact_node():
+    lay = quantiles.Layout()
+    rs = np.random.RandomState(5)
+    for n in (1, 300, 3000, 40_000):
+        m = np.zeros((1, lay.size), np.int64)
+        codes = np.sort((rs.gamma(2, 1000, n)).astype(np.int64).clip(0, (1 << 14) - 1))
+        lay.insert(m, np.zeros(n, np.int64), codes, np.ones(n, np.int64))
+        for r in np.linspace(0, n - 1, 150).astype(int):
+            lo, hi = (int(lay.quantile(m, np.array([r]), quantiles.SIGMAS, u)[0]) for u in (False, True))
+            assert lo <= codes[r] <= hi and hi - lo < (1 << 14) // 512
+
+
+def test_salted_chunks_and_log_scale(spark):
+    rs = np.random.RandomState(8)
+    pdf = _frame(rs, 3, 2, 20_000)
+    a = quantiles.percentile_sketches(spark.createDataFrame(pdf).repartition(5), "k", "d", "x", 0, 100, log_scale=True).toPandas()
+    b = quantiles.percentile_sketches(spark.createDataFrame(pdf).repartition(3), "k", "d", "x", 0, 100, log_scale=True, chunk=700, buffer=50, salts=3).toPandas()
+    order = lambda t: t.sort_values(["k", "d"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(a), order(b))  # the sketch does not depend on how rows were split
+
+
+def test_exact_percentiles_against_numpy(spark):
+    rs = np.random.RandomState(4)
+    pdf = pd.DataFrame({"k": rs.choice(["a", "b"], 3000), "day": rs.choice(["1", "2"], 3000), "x": np.round(rs.gamma(2, 2, 3000), 2)})
+    pdf.loc[:40, "x"] = np.nan
+    want = []
+    for k, day in (("a", "1"), ("a", None), ("b", "2")):
+        x = pdf[(pdf.k == k) & ((pdf.day == day) | (day is None))].x.dropna()
+        for i, q in enumerate((0.0, 0.37, 0.5, 1.0)):
+            lo, hi = (0.0, 1000.0) if i % 2 else (900.0, 950.0)  # the second kind of bounds does not hold
+            want.append((k, day, i, q, len(x), lo, hi, float(np.percentile(x, q * 100))))
+    ddl = "k string, day string, i int, q double, n long, a double, b double"
+    got = quantiles.exact_percentiles(spark.createDataFrame(pdf), spark.createDataFrame([w[:7] for w in want], ddl), cells=16)
+    got = {(r["k"], r["day"], r["i"]): r["value"] for r in got.collect()}
+    assert got == pytest.approx({w[:3]: w[7] for w in want})
+    assert quantiles.exact_percentiles(spark.createDataFrame(pdf), spark.createDataFrame([], ddl)).count() == 0
+
+
 CELLS = "cell_id string, dataset_id string, major_cluster string, cell_type1 string, loaded_at timestamp, supply int, category string"
 TARGETS = "target_id long, dataset_id string, field_name string, category string, target_share double, min_cells int, sample_size int, supply int, cell_id string, low int"
 
