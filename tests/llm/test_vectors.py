@@ -143,6 +143,39 @@ def test_more_groups_than_leaves(spark):
     assert len({p[1] for p in pairs}) >= 535  # close groups of eight may still share a leaf
 
 
+def _near_groups(sizes, corr, seed=3):
+    """Groups whose averages correlate by ``corr`` in pairs, given with their numbers."""
+    rs = np.random.RandomState(seed)
+    base = vectors.unit_rows(rs.randn(len(sizes) // 2 + 1, 64)) * 8
+    own = vectors.unit_rows(rs.randn(len(sizes), 64)) * 8
+    c = np.stack([np.sqrt(corr) * base[i // 2] + np.sqrt(1 - corr) * own[i] for i in range(len(sizes))])
+    g = np.repeat(np.arange(len(sizes)), sizes)
+    return c[g] + 0.8 * rs.randn(len(g), 64), g
+
+
+def test_same_clusters_in_ten_layouts(spark):
+    x, g = _near_groups([400, 300, 120, 60, 30, 14, 12, 10], 0.4)
+    rs = np.random.RandomState(1)
+    want, by_group = None, np.argsort(g, kind="stable")
+    orders = [by_group, by_group[::-1], np.argsort(np.arange(len(g)) % 7, kind="stable"), *(rs.permutation(len(g)) for _ in range(7))]
+    for i, order in enumerate(orders):
+        df = _df(spark, [(f"c{j:05d}", x[j], T) for j in order]).coalesce(1 + i % 4) if i else _df(spark, [(f"c{j:05d}", x[j], T) for j in order])
+        assigned, _ = clusters.similarity_clusters(df, "cell_id", "exprs", max_leaves=(512, 40)[i % 2])
+        lab = {int(r["cell_id"][1:]): r["cluster_no"] for r in assigned.collect()}
+        groups = {frozenset(j for j in lab if lab[j] == k) for k in set(lab.values())}
+        want = groups if want is None else want
+        assert groups == want
+    assert want == {frozenset(np.flatnonzero(g == k).tolist()) for k in range(8)}
+
+
+def test_repair_cuts_and_joins():
+    x, g = _near_groups([40, 40, 40, 40], 0.3)
+    mixed = clusters._sums(x, g // 2, g % 2, 2).repaired(0.5)  # two groups each of two
+    assert len(mixed.n) == 4 and sorted(mixed.n.sum(1)) == [40] * 4
+    halved = clusters._sums(x, g * 2 + np.arange(160) % 2, np.zeros(160, np.int64), 8).repaired(0.5)  # every group cut in two
+    assert len(halved.n) == 4 and sorted(halved.n.sum(1)) == [40] * 4
+
+
 def test_clusters_of_nothing_and_of_copies(spark):
     a, t = clusters.similarity_clusters(_df(spark, []), "cell_id", "exprs")
     assert a.count() == 0 and t.count() == 0
