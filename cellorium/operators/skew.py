@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellorium.session import cut_lineage
+
 #: Rows a task is meant to sort where ``partitions`` is not given.
 ROWS_PER_TASK = 2_000_000
 
@@ -129,15 +131,16 @@ def balanced_key_stats(df: DataFrame, key: str, secondary: str, value: str | Non
     Every task sorts about the same number of rows, at most about
     ``ROWS_PER_TASK``, whatever the key distribution and the size of the input: a key of a third of all rows spreads over a third of the
     partitions.  Rows equal in key and secondary value would stay together
-    under plain range partitioning, so a row hash is the last sort key; runs cut
-    by it are joined again when boundary states are stitched.  At most two
-    states per partition are stitched.
+    under plain range partitioning, so a hash of the row's position (the same when a
+    lost task runs again) is the last sort key; runs cut by it are joined again when boundary states are stitched.  At most two
+    states per partition are stitched.  The states, a row per key and partition, are
+    written to the shared folder, so rows are sorted and read once.
     """
     n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
     val = F.col(value).cast("double") if value else F.lit(None).cast("double")
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(secondary).cast("string").alias("s"), val.alias("v"), F.rand(7).alias("r"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(secondary).cast("string").alias("s"), val.alias("v"), F.xxhash64(F.monotonically_increasing_id()).alias("r"))
     ranged = rows.repartitionByRange(n, "k", "s", "r").select("k", "s", "v").sortWithinPartitions("k", "s").withColumn("pid", F.spark_partition_id())
-    states = ranged.mapInArrow(_partition_states, _STATE)
+    states = cut_lineage(ranged.mapInArrow(_partition_states, _STATE))  # a row per key and partition: the rows are sorted and read once
     inner = states.filter(~F.col("edge")).select("key_value", "n_rows", "n_values", "sum_value", "min_value", "max_value", F.col("n_runs").alias("n_secondary"), "runs")
     edges = states.filter("edge")
     w = Window.partitionBy("key_value").orderBy("pid")
