@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellorium.operators.relational import nan_to_null
+from cellorium.operators.relational import nan_to_null, with_group_columns, zscore
 
 
 def gene_moments(expr: DataFrame, value: str, gene: str = "gene_id") -> DataFrame:
@@ -30,11 +30,17 @@ def cell_sd(expr: DataFrame, value: str, cell: str = "cell_id") -> DataFrame:
     return expr.groupBy(cell).agg(F.stddev_samp(x).alias("cell_sd"))
 
 
-def drop_flat_genes(expr: DataFrame, value: str, gene: str = "gene_id") -> DataFrame:
-    """Genes without nulls and with sd > 0."""
+def drop_flat_genes(expr: DataFrame, value: str, gene: str = "gene_id", n_cells: int | None = None) -> DataFrame:
+    """Genes without nulls and with sd > 0.
+
+    ``n_cells``: the number of cells of a sparse set, whose absent rows are zeros
+    (one row for a gene and cell); without it every cell has a row.
+    """
     x = nan_to_null(F.col(value))
-    m = expr.groupBy(gene).agg(F.stddev_samp(x).alias("sd"), F.count(x).alias("n"), F.count(F.lit(1)).alias("n_all"))
-    return m.filter((F.col("sd") > 0) & (F.col("n") == F.col("n_all"))).select(gene)
+    m = expr.groupBy(gene).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.count(F.lit(1)).alias("n_all"))
+    absent = F.lit(0) if n_cells is None else F.lit(n_cells) - F.col("n_all")
+    lo, hi = F.when(absent > 0, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")), F.when(absent > 0, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))
+    return m.filter((hi > lo) & (F.col("n") == F.col("n_all"))).select(gene)
 
 
 def genes_varying_in_both(expr: DataFrame, value: str, is_train: str, gene: str = "gene_id") -> DataFrame:
@@ -44,9 +50,13 @@ def genes_varying_in_both(expr: DataFrame, value: str, is_train: str, gene: str
     return m.filter((F.col("a") > 0) & (F.col("b") > 0)).select(gene)
 
 
-def expressed_genes(expr: DataFrame, value: str, gene: str = "gene_id", more_than: int = 5, share: float = 0.01) -> DataFrame:
-    """Genes with value > 0 in more than ``more_than`` cells and in more than ``share`` of them (both strict)."""
-    m = expr.groupBy(gene).agg(F.sum((F.col(value) > 0).cast("long")).alias("n_pos"), F.count(F.lit(1)).alias("n_cells"))
+def expressed_genes(expr: DataFrame, value: str, gene: str = "gene_id", more_than: int = 5, share: float = 0.01, n_cells: int | None = None) -> DataFrame:
+    """Genes with value > 0 in more than ``more_than`` cells and in more than ``share`` of all cells (both strict).
+
+    ``n_cells``: the number of cells of a sparse set; without it every cell has a row.  Null and NaN are not > 0.
+    """
+    x = nan_to_null(F.col(value))
+    m = expr.groupBy(gene).agg(F.coalesce(F.sum((x > 0).cast("long")), F.lit(0)).alias("n_pos"), (F.count(F.lit(1)) if n_cells is None else F.lit(n_cells).cast("long")).alias("n_cells"))
     return m.filter((F.col("n_pos") > more_than) & (F.col("n_pos") / F.col("n_cells") > share))
 
 
@@ -73,6 +83,30 @@ def hi_expressor_mean(expr: DataFrame, binary: str, value: str, group: str, gene
     return expr.groupBy(gene, group).agg((F.sum(F.when(hi, F.col(value))) / F.nullif(F.sum(hi.cast("long")), F.lit(0))).alias("avg_hi_expr"))
 
 
+def sparse_group_stats(expr: DataFrame, value: str, cells: DataFrame, group: str, threshold: float, gene: str = "gene_id", cell: str = "cell_id") -> DataFrame:
+    """(gene, group, mean, sd, length, freq) over all cells of a group where absent rows are zeros.
+
+    Group sizes come from ``cells`` (one row for a cell); a gene and a group without
+    a row in common still come out.  Null and NaN values are left out of their group's
+    length.  Cells without a group and rows of other cells do not count.
+    """
+    known = cells.filter(F.col(group).isNotNull()).select(cell, F.col(group).alias("__g"))
+    size = known.groupBy("__g").agg(F.count(F.lit(1)).alias("size"))
+    x = nan_to_null(F.col(value))
+    got = expr.select(F.col(gene).alias("__gene"), F.col(cell).alias("__c"), x.alias("__x")).join(known, F.col("__c") == F.col(cell))
+    got = got.groupBy("__gene", "__g").agg(F.sum("__x").alias("s"), F.sum(F.col("__x") * F.col("__x")).alias("q"), F.count(F.when(F.col("__x").isNull(), 1)).alias("bad"), F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("__x") > threshold, 1)).alias("over"))
+    wide = got.groupBy("__gene").agg(F.map_from_entries(F.collect_list(F.struct("__g", F.struct("s", "q", "bad", "rows", "over")))).alias("m"))  # a few groups a gene
+    sizes = [(r["__g"], r["size"]) for r in size.collect()]  # one row for a group
+    every = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(n).alias("size")) for g, n in sizes])) if sizes else F.explode(F.array().cast(f"array<struct<g:{dict(known.dtypes)['__g']},size:bigint>>"))
+    t = wide.select("__gene", "m", every.alias("e")).select("__gene", "e.*", F.try_element_at("m", F.col("e.g")).alias("x"))
+    v = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0))
+    n = F.col("size") - v("bad")
+    mean = v("s") / F.nullif(n, F.lit(0))
+    var = F.greatest((v("q") - n * mean * mean) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
+    zeros = F.when(F.lit(threshold) < 0, F.col("size") - v("rows")).otherwise(F.lit(0))
+    return t.select(F.col("__gene").alias(gene), F.col("g").alias(group), mean.alias("mean"), F.sqrt(var).alias("sd"), n.alias("length"), ((v("over") + zeros) / F.nullif(n, F.lit(0))).alias("freq"))
+
+
 def group_stats(expr: DataFrame, value: str, group: str, threshold: float, gene: str = "gene_id") -> DataFrame:
     """(gene, group, mean, sd, length, freq): freq is the share of values over the threshold."""
     x = nan_to_null(F.col(value))
@@ -140,14 +174,15 @@ def weighted_mean(value: str | Column, weight: str | Column) -> Column:
 def remove_batch_effect(expr: DataFrame, value: str, batch: str, out: str, gene: str = "gene_id") -> DataFrame:
     """value - (batch mean - grand mean) per gene (our definition of the simple correction)."""
     x = nan_to_null(F.col(value))
-    return expr.withColumn(out, x - F.avg(x).over(Window.partitionBy(gene, batch)) + F.avg(x).over(Window.partitionBy(gene)))
+    m = expr.groupBy(gene, batch).agg(F.avg(x).alias("__mb"), F.sum(x).alias("__s"), F.count(x).alias("__n"))
+    w = Window.partitionBy(gene)  # over batches of a gene, a few rows
+    m = m.withColumn("__off", F.sum("__s").over(w) / F.sum("__n").over(w) - F.col("__mb")).select(gene, batch, "__off")
+    return with_group_columns(expr, m, [gene, batch]).withColumn(out, x + F.col("__off")).drop("__off")
 
 
 def module_score(expr: DataFrame, value: str, signature: DataFrame, gene: str = "gene_id", cell: str = "cell_id", module: str = "meta_cluster") -> DataFrame:
     """(cell, module, score): mean z-score of the module's genes minus the mean over all other genes (our definition)."""
-    x = nan_to_null(F.col(value))
-    w = Window.partitionBy(gene)
-    z = expr.withColumn("z", (x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)))
+    z = zscore(expr, [gene], value, "z")
     whole = z.groupBy(cell).agg(F.sum("z").alias("s_all"), F.count("z").alias("n_all"))
     sig = z.join(signature.select(gene, module).distinct(), gene).groupBy(cell, module).agg(F.sum("z").alias("s"), F.count("z").alias("n"))
     rest = (F.col("s_all") - F.col("s")) / F.nullif(F.col("n_all") - F.col("n"), F.lit(0))

@@ -80,10 +80,24 @@ def bh_adjust(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_a
 
 
 def zscore(df: DataFrame, part: Sequence[str], value: str, out: str = "z") -> DataFrame:
-    """(x - mean) / sd (n - 1) inside each partition; zero or undefined sd gives null."""
-    w = Window.partitionBy(*part)
+    """(x - mean) / sd (n - 1) inside each partition; zero or undefined sd gives null.
+
+    Moments are aggregated with map-side combine and joined back, so no task holds
+    the rows of a partition; Catalyst broadcasts the moments where they are small.
+    """
     x = nan_to_null(F.col(value))
-    return df.withColumn(out, (x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)))
+    m = df.groupBy(*part).agg(F.avg(x).alias("__mean"), F.stddev_samp(x).alias("__sd"))
+    return with_group_columns(df, m, part).withColumn(out, (x - F.col("__mean")) / F.nullif(F.col("__sd"), F.lit(0.0))).drop("__mean", "__sd")
+
+
+def with_group_columns(df: DataFrame, groups: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Every row of ``df`` with the columns of its group; a null key is a group."""
+    keys = [f"__k{i}" for i in range(len(part))]
+    g = groups.select(*[F.col(p).alias(k) for p, k in zip(part, keys)], *[c for c in groups.columns if c not in part])
+    cond = F.lit(True)
+    for p, k in zip(part, keys):
+        cond = cond & F.col(p).eqNullSafe(F.col(k))
+    return df.join(g, cond, "left").drop(*keys)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -93,14 +93,37 @@ def trend_var(spark, d):
     return vgene.trend_var(_set(spark, d), mean_min=-1.0, assay="exprs").meta["trend_var"].select(GENE, "row_mean", "total_var", "trend_var", "p_value", "fdr")
 
 
-@query("SELECT gene_id FROM (SELECT gene_id, CASE WHEN isnan(exprs) THEN NULL ELSE exprs END AS x FROM expr) GROUP BY 1 HAVING stddev_samp(x) > 0 AND count(x) = count(*)")
+#: One value for a gene and cell of the sparse table: the mean of its usable measurements; absent pairs are zeros.
+_ONE = "(SELECT gene_id, cell_id, avg(exprs) FILTER (WHERE NOT isnan(exprs) AND exprs >= 0 AND exprs < 100) AS x FROM expr GROUP BY 1, 2)"
+
+
+def _one(spark, d) -> tuple[DataFrame, int]:
+    e = _t(spark, d, "expr")
+    x = F.when(~F.isnan("exprs") & (F.col("exprs") >= 0) & (F.col("exprs") < 100), F.col("exprs"))
+    return e.groupBy(GENE, CELL).agg(F.avg(x).alias("x")), e.select(CELL).distinct().count()
+
+
+@query(f"SELECT gene_id FROM {_ONE} GROUP BY 1 HAVING count(x) = count(*) AND (min(x) < max(x) OR (max(x) <> 0 AND count(*) < (SELECT count(DISTINCT cell_id) FROM expr)))")
 def drop_zero_var(spark, d):
-    return groupstats.drop_flat_genes(_t(spark, d, "expr"), "exprs")
+    x, n = _one(spark, d)
+    return groupstats.drop_flat_genes(x, "x", n_cells=n)
 
 
-@query("SELECT gene_id, sum((exprs > 0)::INT)::BIGINT AS n_pos, count(*) AS n_cells FROM expr GROUP BY 1 HAVING sum((exprs > 0)::INT) > 5 AND sum((exprs > 0)::INT) / count(*) > 0.01")
+@query(f"SELECT gene_id, count(*) FILTER (WHERE x > 0) AS n_pos, (SELECT count(DISTINCT cell_id) FROM expr) AS n_cells FROM {_ONE} GROUP BY 1 HAVING count(*) FILTER (WHERE x > 0) > 5 AND count(*) FILTER (WHERE x > 0) / (SELECT count(DISTINCT cell_id) FROM expr) > 0.01")
 def expressed_filter(spark, d):
-    return groupstats.expressed_genes(_t(spark, d, "expr"), "exprs")
+    x, n = _one(spark, d)
+    return groupstats.expressed_genes(x, "x", n_cells=n)
+
+
+@query(f"""WITH c AS (SELECT cell_id, max(loaded_at) AS t FROM cells GROUP BY 1), k AS (SELECT cell_id, max(batch) AS batch FROM cells JOIN c USING (cell_id) WHERE loaded_at = t AND batch IS NOT NULL GROUP BY 1), n AS (SELECT batch, count(*) AS size FROM k GROUP BY 1),
+x AS (SELECT gene_id, batch, sum(x) AS s, sum(x * x) AS q, count(*) FILTER (WHERE x IS NULL) AS bad, count(*) FILTER (WHERE x > 1) AS over FROM {_ONE} JOIN k USING (cell_id) GROUP BY 1, 2), g AS (SELECT DISTINCT gene_id FROM x),
+y AS (SELECT g.gene_id, n.batch, size - coalesce(bad, 0) AS length, coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(over, 0) AS over FROM g CROSS JOIN n LEFT JOIN x ON x.gene_id = g.gene_id AND x.batch = n.batch)
+SELECT gene_id, batch, round(s / length + 1e-11, 6) AS mean, round(sqrt(greatest((q - s * s / length) / (length - 1), 0)) + 1e-11, 6) AS sd, length, round(over / length + 1e-11, 6) AS freq FROM y""")
+def sparse_group_stats(spark, d):
+    """Mean, sd and share over 1 of every gene and batch of the sparse table, zeros included."""
+    x, _ = _one(spark, d)
+    cells = relational.latest_per_key(_t(spark, d, "cells"), [CELL], "loaded_at", ["batch"]).select(CELL, "batch")
+    return groupstats.sparse_group_stats(x, "x", cells, "batch", 1.0).select(GENE, "batch", *[_r(F.col(c) + 1e-11, c) for c in ("mean", "sd", "freq")], "length")
 
 
 @query("SELECT cell_id, round(stddev_samp(CASE WHEN isnan(exprs) THEN NULL ELSE exprs END), 6) + 0.0 AS cell_sd FROM expr GROUP BY 1")
@@ -279,12 +302,12 @@ def melt_dcast(spark, d):
     return w.select(GENE, "dataset_id", *[_r(f"C{i}", f"C{i}") for i in range(10)])
 
 
-@query("SELECT m.mouse AS gene_id, x.cell_id, x.exprs FROM expr x JOIN (SELECT gene_id, 'm' || gene_id AS mouse FROM genes WHERE gene_idx % 3 = 0) m USING (gene_id)")
+@query("SELECT m.mouse AS gene_id, x.cell_id, CASE WHEN isnan(x.exprs) THEN NULL ELSE x.exprs END AS exprs FROM expr x RIGHT JOIN (SELECT gene_id, 'm' || gene_id AS mouse FROM genes WHERE gene_idx % 3 = 0) m USING (gene_id)")
 def ortholog_map(spark, d):
     from cellorium.sources.tables import map_orthologs
 
     m = _t(spark, d, "genes").select(F.col(GENE).alias("human"), F.concat(F.lit("m"), GENE).alias("mouse"), F.when(F.col("gene_idx") % 3 == 0, "ortholog_one2one").otherwise("ortholog_one2many").alias("orthology_type"), F.lit(1).alias("orthology_confidence"))
-    return map_orthologs(_t(spark, d, "expr").select(GENE, CELL, "exprs"), m, "human", "mouse").select(GENE, CELL, "exprs")
+    return map_orthologs(_t(spark, d, "expr").select(GENE, CELL, "exprs"), m, "human", "mouse", keep_all=True).select(GENE, CELL, "exprs")
 
 
 # ---- group statistics ---------------------------------------------------------------

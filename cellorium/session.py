@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,16 @@ def get_spark(app: str = "cellorium", master: str | None = None, **conf) -> Spar
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``checkpoint()`` at the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a directory is present (tests on one
-    machine) is a temporary folder used.
+    Without that setting and without a directory a local master gets a temporary
+    folder (tests on one machine); any other raises, since its executors share none.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cellorium-ckpt-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellorium-ckpt-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

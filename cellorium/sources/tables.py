@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellorium.exprset import CELL, GENE, ExprSet
+from cellorium.operators.relational import nan_to_null
 
 
 def read_matrix_tsv(spark: SparkSession, path: str, gene: str | None = None, symbol: str | None = None) -> ExprSet:
@@ -32,10 +33,15 @@ def write_tsv(df: DataFrame, path: str, gz: bool = False) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip" if gz else "none", nullValue="NA")
 
 
-def map_orthologs(expr: DataFrame, orthologs: DataFrame, source: str, target: str, kind: str = "orthology_type", confidence: str = "orthology_confidence") -> DataFrame:
-    """Rename genes by a supplied map, one-to-one pairs of confidence 1 only; genes without one are dropped."""
+def map_orthologs(expr: DataFrame, orthologs: DataFrame, source: str, target: str, kind: str = "orthology_type", confidence: str = "orthology_confidence", keep_all: bool = False) -> DataFrame:
+    """Rename genes by a supplied map, one-to-one pairs of confidence 1 only; genes without one are dropped.
+
+    ``keep_all`` is the keyed right join: every target gene of the map comes out,
+    those without a measurement once with nulls.  NaN values become null.
+    """
+    expr = expr.select(*[nan_to_null(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in expr.dtypes])
     m = orthologs.filter((F.col(kind) == "ortholog_one2one") & (F.col(confidence).cast("int") == 1) & F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(source).alias(GENE), F.col(target).alias("__to")).distinct()
-    return expr.join(m, GENE).drop(GENE).withColumnRenamed("__to", GENE)
+    return expr.join(m, GENE, "right" if keep_all else "inner").drop(GENE).withColumnRenamed("__to", GENE)
 
 
 def normal_run_id(rid: str) -> str:
