@@ -13,7 +13,8 @@ from cellorium.functions import special
 
 def _scalar(name: str):
     def tail(*args):
-        return pd.Series(getattr(special, name)(*[a.to_numpy(dtype=float, na_value=np.nan) for a in args])).where(lambda s: s.notna(), None).astype(object)
+        got = np.asarray(getattr(special, name)(*[a.to_numpy(dtype=float, na_value=np.nan) for a in args]))
+        return pd.Series(pd.arrays.FloatingArray(got, np.isnan(got)))
 
     return tail
 
@@ -77,3 +78,9 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
         call.__annotations__ = {"a": pd.Series, "b": pd.Series, "c": pd.Series, "d": pd.Series, "return": pd.DataFrame}
         _made["fisher"] = pandas_udf(call, StructType([StructField("odds_ratio", DoubleType()), StructField("p_value", DoubleType())]))
     return _made["fisher"](*[x.cast("double") for x in (a, b, c, d)])
+
+
+def register(spark) -> None:
+    """Make the tails callable from SQL under their own names."""
+    for name, n in (("norm_sf2", 1), ("t_sf2", 2), ("f_sf", 3), ("chi2_sf", 2), ("ptukey_sf", 3)):
+        spark.udf.register(name, _get(name, n))

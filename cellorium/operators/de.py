@@ -218,7 +218,7 @@ def find_de_genes(expr: DataFrame, value: str, group: str, batch: str | None = N
     f = (aov_batch(expr.join(some, gene, "left_semi"), value, group, batch, gene) if batch else aov(expr, value, group, gene, m)).select(gene, "f_stat", "f_pvalue")
     out = f.join(kruskal(expr, value, group, gene, r).select(gene, "h_stat", "kruskal_pvalue"), gene, "left")
     if not f_only:
-        pairs = kruskal_posthoc(expr, value, group, gene, r) if use_kruskal else tukey_hsd(expr, value, group, batch, gene, m)
+        pairs = cut_lineage(kruskal_posthoc(expr, value, group, gene, r) if use_kruskal else tukey_hsd(expr, value, group, batch, gene, m))  # rows per gene and pair, used three times
         out = out.join(best_pair(pairs, gene), gene, "left").join(top_pair_test(pairs, top_two_groups(expr, value, group, gene, m), gene), gene, "left")
         if specific:
             out = out.join(specific_groups(pairs, pair_fdr, gene), gene, "left")
@@ -352,7 +352,92 @@ def level_order(levels: Sequence[str], target: str | None = None) -> tuple[list[
     return order + [target], shown or target
 
 
-def limma(expr: DataFrame, value: str, group: str, target: str | None = None, batch: str | None = None, include_baseline: bool = False, fdr: float = 0.05, least_fc: float = 1.0, gene: str = GENE) -> DataFrame:
+def _designs(layout: set[tuple[str, str]], targets: Sequence[str | None], as_two: bool, batched: bool) -> list[tuple[str, str, list[str], list[str]]]:
+    """(target, shown, levels, modelled batches) of each comparison; ``layout`` are the (group, batch) pairs with cells."""
+    names, batches = sorted({g for g, _ in layout}), sorted({b for _, b in layout})
+    if len(names) < 2:
+        raise ValueError("at least two groups are needed")
+    out = []
+    for t in targets:
+        levels, shown = level_order(names, t)
+        tg = levels[-1]
+        mine = {b for g, b in layout if g == tg}
+        only = len(mine) == 1 and not any(b in mine and g != tg for g, b in layout)
+        cols = [b for b in batches[1:] if not (only and b in mine)] if batched else []
+        out.append((tg, shown, ["", tg] if as_two else levels, cols))
+    return out
+
+
+def linear_fits(expr: DataFrame, value: str, group: str, targets: Sequence[str | None], batch: str | None = None, as_two: bool = False, include_baseline: bool = False, gene: str = GENE) -> DataFrame:
+    """(gene, cluster, log_fc, ave_expr, s2, df, u) of the contrast of every target, from one pass over the cells.
+
+    The moments of (gene, group, batch) hold all that the fits of any number of
+    targets need.  ``as_two``: the target against all other groups as one level.
+    The layout (groups x batches) is collected, a short list.
+    """
+    e = expr.filter(F.col(group).isNotNull()).withColumn("__b", F.coalesce(F.col(batch).cast("string"), F.lit("")) if batch else F.lit(""))
+    layout = {(r["g"], r["b"]) for r in e.select(F.col(group).cast("string").alias("g"), F.col("__b").alias("b")).distinct().collect()}
+    designs = _designs(layout, targets, as_two, batch is not None)
+    m = moments(e, value, [group, "__b"], gene)
+    packed = m.groupBy(gene).agg(F.collect_list(F.struct(F.col(group).cast("string").alias("g"), F.col("__b").alias("b"), F.col("n_group").alias("n"), F.col("mean").alias("m"), "ss")).alias("r"))
+
+    def one(rows: list, design: tuple) -> tuple | None:
+        tg, _, levels, cols = design
+        x = np.zeros((len(rows), len(levels) + len(cols)))
+        x[:, 0] = 1
+        for i, r in enumerate(rows):
+            at = int(r["g"] == tg) if as_two else levels.index(r["g"])
+            if at:
+                x[i, at] = 1
+            if r["b"] in cols:
+                x[i, len(levels) + cols.index(r["b"])] = 1
+        n = np.array([r["n"] for r in rows], float)
+        y = np.array([r["m"] for r in rows], float)
+        xtx = (x * n[:, None]).T @ x
+        inv = np.linalg.pinv(xtx)
+        beta = inv @ (x.T @ (n * y))
+        df = n.sum() - np.linalg.matrix_rank(xtx)
+        rss = (n * (y - x @ beta) ** 2).sum() + sum(r["ss"] for r in rows)
+        c = np.zeros(x.shape[1])
+        c[len(levels) - 1] = 1
+        if len(levels) > 2:
+            c[1 : len(levels) - 1] = -1.0 / (len(levels) - 2 + include_baseline)
+        if not (df > 0 and rss > 0):
+            return None
+        return float(c @ beta), float((n * y).sum() / n.sum()), float(rss / df), float(df), float(np.sqrt(max(c @ inv @ c, 0)))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = [(g, d[1], *fit) for g, rows in zip(pdf[gene], pdf["r"]) for d in designs if (fit := one(rows, d))]
+            yield pd.DataFrame(out, columns=[gene, "cluster", "log_fc", "ave_expr", "s2", "df", "u"])
+
+    return packed.mapInPandas(run, f"{gene} {dict(expr.dtypes)[gene]}, cluster string, log_fc double, ave_expr double, s2 double, df double, u double")
+
+
+def moderated(fits: DataFrame, fdr: float = 0.05, least_fc: float = 1.0, gene: str = GENE) -> DataFrame:
+    """Moderated t, p, adjusted p and log odds of every cluster's fits; the prior of a cluster is fitted on its table of genes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(gene)
+        s2, df, u = (pdf[c].to_numpy(float) for c in ("s2", "df", "u"))
+        d0, s02 = fit_prior(s2, df)
+        post = s2 if not np.isfinite(s02) else np.full_like(s2, s02) if np.isinf(d0) else (d0 * s02 + df * s2) / (d0 + df)
+        dft = np.minimum(df + (d0 if np.isfinite(d0) else 1e10), max(float(df.sum()), 1.0))
+        with np.errstate(all="ignore"):
+            t = np.where((post > 0) & (u > 0), pdf["log_fc"].to_numpy(float) / np.sqrt(post) / u, np.nan)
+            r = (u**2 + prior_variance(pdf, d0, s02)) / u**2
+            b = np.log(0.01 / 0.99) - np.log(r) / 2 + (1 + dft) / 2 * np.log((t**2 + dft) / (t**2 / r + dft))
+        return pdf[[gene, "cluster", "log_fc", "ave_expr"]].assign(t_stat=t, p_value=special.t_sf2(t, dft), b_stat=b)
+
+    kind = dict(fits.dtypes)[gene]
+    t = fits.groupBy("cluster").applyInPandas(run, f"{gene} {kind}, cluster string, log_fc double, ave_expr double, t_stat double, p_value double, b_stat double")
+    t = t.select(gene, "cluster", *[nan_to_null(F.col(c)).alias(c) for c in ("log_fc", "ave_expr", "t_stat", "p_value", "b_stat")])
+    t = bh_adjust(t, "p_value", ["cluster"], "adj_p_value")
+    sig = F.coalesce((F.col("adj_p_value") < fdr) & (F.abs("log_fc") > least_fc), F.lit(False))
+    return t.select(gene, "cluster", "log_fc", "ave_expr", "t_stat", "p_value", "adj_p_value", "b_stat", sig.alias("significant"))
+
+
+def limma(expr: DataFrame, value: str, group: str, target: str | None = None, batch: str | None = None, include_baseline: bool = False, fdr: float = 0.05, least_fc: float = 1.0, per_group: int | None = None, stats_over: float | None = None, gene: str = GENE) -> DataFrame:
     """Moderated t test of the target group, by moments of (group, batch) cells.
 
     Two levels: the target's coefficient.  More: the coefficient minus the mean of
@@ -360,66 +445,20 @@ def limma(expr: DataFrame, value: str, group: str, target: str | None = None, ba
     counts it as 0.  A batch that holds only target cells while the target lives in
     no other is not modelled.  Genes with missing values or no variance are left
     out.  The prior (d0, s0^2) is fitted on the gene-level table.
-    Columns: gene, cluster, log_fc, ave_expr, t_stat, p_value, adj_p_value, b_stat, significant.
+    Columns: gene, cluster, log_fc, ave_expr, t_stat, p_value, adj_p_value, b_stat, significant;
+    with ``stats_over`` also the target's mean, sd, length, freq (share over it) and snr.
+    ``per_group``: at most that many cells of each group, in hash order.
     """
-    e = expr.filter(F.col(group).isNotNull()).withColumn("__b", F.col(batch).cast("string") if batch else F.lit(""))
-    layout = e.select(F.col(group).cast("string").alias("g"), F.coalesce("__b", F.lit("")).alias("b")).distinct().collect()  # groups x batches
-    levels, shown = level_order(sorted({r["g"] for r in layout}), target)
-    tg = levels[-1]
-    if len(levels) < 2:
-        raise ValueError("at least two groups are needed")
-    batches = sorted({r["b"] for r in layout})
-    mine = {r["b"] for r in layout if r["g"] == tg}
-    skip = None
-    if len(mine) == 1 and not any(r["b"] in mine and r["g"] != tg for r in layout):
-        skip = next(iter(mine))
-    cols = [b for b in batches[1:] if b != skip] if batch else []
-    m = moments(e.withColumn("__b", F.coalesce("__b", F.lit(""))), value, [group, "__b"], gene)
-    packed = m.groupBy(gene).agg(F.collect_list(F.struct(F.col(group).cast("string").alias("g"), F.col("__b").alias("b"), F.col("n_group").alias("n"), F.col("mean").alias("m"), "ss")).alias("r"))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for g, rows in zip(pdf[gene], pdf["r"]):
-                x = np.zeros((len(rows), len(levels) + len(cols)))
-                for i, r in enumerate(rows):
-                    x[i, 0] = 1
-                    if r["g"] != levels[0]:
-                        x[i, levels.index(r["g"])] = 1
-                    if r["b"] in cols:
-                        x[i, len(levels) + cols.index(r["b"])] = 1
-                n = np.array([r["n"] for r in rows], float)
-                y = np.array([r["m"] for r in rows], float)
-                xtx = (x * n[:, None]).T @ x
-                inv = np.linalg.pinv(xtx)
-                beta = inv @ (x.T @ (n * y))
-                rank = np.linalg.matrix_rank(xtx)
-                df = n.sum() - rank
-                rss = (n * (y - x @ beta) ** 2).sum() + sum(r["ss"] for r in rows)
-                c = np.zeros(x.shape[1])
-                c[len(levels) - 1] = 1
-                others = len(levels) - 2
-                if others > 0:
-                    c[1 : len(levels) - 1] = -1.0 / (others + include_baseline)
-                if df > 0 and rss > 0:
-                    out.append((g, float(c @ beta), float((n * y).sum() / n.sum()), float(rss / df), float(df), float(np.sqrt(max(c @ inv @ c, 0)))))
-            yield pd.DataFrame(out, columns=[gene, "log_fc", "ave_expr", "s2", "df", "u"])
-
-    fit = packed.mapInPandas(run, f"{gene} {dict(expr.dtypes)[gene]}, log_fc double, ave_expr double, s2 double, df double, u double").persist()
-    small = fit.select("s2", "df", "log_fc", "u").toPandas()  # one row per gene
-    d0, s02 = fit_prior(small["s2"].to_numpy(), small["df"].to_numpy())
-    post = F.col("s2") if not np.isfinite(s02) else F.lit(s02) if np.isinf(d0) else (F.lit(d0 * s02) + F.col("df") * F.col("s2")) / (F.lit(d0) + F.col("df"))
-    cap = float(small["df"].sum()) if len(small) else 0.0
-    dft = F.least(F.col("df") + F.lit(d0 if np.isfinite(d0) else 1e10), F.lit(max(cap, 1.0)))
-    t = F.col("log_fc") / F.nullif(F.sqrt(post) * F.col("u"), F.lit(0.0))
-    out = fit.withColumn("t_stat", t).withColumn("dft", dft).withColumn("p_value", udfs.t_sf2(F.col("t_stat"), F.col("dft")))
-    v0 = prior_variance(small, d0, s02)
-    r = (F.pow("u", F.lit(2)) + v0) / F.pow("u", F.lit(2))
-    kernel = (1 + F.col("dft")) / 2 * F.log((F.pow("t_stat", F.lit(2)) + F.col("dft")) / (F.pow("t_stat", F.lit(2)) / r + F.col("dft")))
-    out = out.withColumn("b_stat", F.log(F.lit(0.01 / 0.99)) - F.log(r) / 2 + kernel)
-    out = bh_adjust(out, "p_value", out="adj_p_value")
-    sig = F.coalesce((F.col("adj_p_value") < fdr) & (F.abs("log_fc") > least_fc), F.lit(False))
-    return out.select(gene, F.lit(shown).alias("cluster"), "log_fc", "ave_expr", "t_stat", "p_value", "adj_p_value", "b_stat", sig.alias("significant"))
+    if per_group:
+        cells = downsample_per_group(expr.filter(F.col(group).isNotNull()).select("cell_id", group).distinct(), [group], "cell_id", per_group)
+        expr = expr.join(cells.select("cell_id"), "cell_id", "left_semi")
+    out = moderated(linear_fits(expr, value, group, [target], batch, False, include_baseline, gene), fdr, least_fc, gene)
+    if stats_over is not None:
+        prof = group_profile(expr.filter(F.col(group).isNotNull()), value, group, stats_over, gene=gene)
+        mine = (target.split(":", 1)[0] if target and ":" in target else target) if target else None
+        named = prof.withColumn("__g", F.col(group).cast("string"))
+        out = out.join(named.filter(F.col("__g") == mine).drop(group, "__g") if mine else named.withColumnRenamed("__g", "cluster").drop(group), gene if mine else [gene, "cluster"], "left")
+    return out
 
 
 def fit_prior(s2: np.ndarray, df: np.ndarray) -> tuple[float, float]:
@@ -484,20 +523,23 @@ def group_profile(expr: DataFrame, value: str, group: str, threshold: float = 0.
     return s.join(v, [gene, group])
 
 
-def de_genes(expr: DataFrame, value: str, group: str, groups: Sequence[str] | None = None, batch: str | None = None, mode: str = "multiAsTwo", method: str = "limma", fdr: float = 0.01, least_fc: float = 1.0, threshold: float = 0.3, gene: str = GENE) -> DataFrame:
-    """One table for all groups with F rank: mode ``multi`` (target against the other levels) or ``multiAsTwo`` (against the rest, with Fisher's test of the expressing shares)."""
+def de_genes(expr: DataFrame, value: str, group: str, groups: Sequence[str] | None = None, batch: str | None = None, mode: str = "multiAsTwo", method: str = "limma", fdr: float = 0.01, least_fc: float = 1.0, threshold: float = 0.3, per_group: int | None = None, gene: str = GENE) -> DataFrame:
+    """One table for all groups with F rank: mode ``multi`` (target against the other levels) or ``multiAsTwo`` (against the rest, with Fisher's test of the expressing shares).
+
+    The contrasts of all groups come from one table of moments.  ``per_group``: at most that many cells of each group, in hash order.
+    """
     e = expr.filter(F.col(group).isNotNull())
+    if per_group:
+        cells = downsample_per_group(e.select("cell_id", group).distinct(), [group], "cell_id", per_group)
+        e = e.join(cells.select("cell_id"), "cell_id", "left_semi")
     groups = list(groups or [r[0] for r in e.select(group).distinct().orderBy(group).collect()])
     f = find_de_genes(e, value, group, batch, f_only=True, gene=gene)
     f = fractional_rank(f, [], "f_stat", "f_rank").select(gene, "f_stat", "f_pvalue", "f_adjp", "f_rank")
     if method == "lm":
         table = naive_de(e, value, group, fdr, least_fc, gene).filter(F.col("cluster").isin(groups))
     elif method == "limma":
-        table = None
-        for g in groups:
-            src = e.withColumn("__two", F.when(F.col(group) == g, "_case").otherwise("_control")) if mode == "multiAsTwo" else e
-            part = limma(src, value, "__two" if mode == "multiAsTwo" else group, "_case" if mode == "multiAsTwo" else g, batch, fdr=fdr, least_fc=least_fc, gene=gene).withColumn("cluster", F.lit(g))
-            table = part if table is None else table.unionByName(part)
+        names = [str(g) for g in groups]
+        table = moderated(linear_fits(e, value, group, names, batch, mode == "multiAsTwo", gene=gene), fdr, least_fc, gene)
     else:
         raise ValueError(f"unknown method {method!r}")
     if mode == "multiAsTwo":
