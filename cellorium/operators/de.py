@@ -548,12 +548,18 @@ def de_genes(expr: DataFrame, value: str, group: str, groups: Sequence[str] | No
     return table.join(f, gene).orderBy("cluster", F.asc_nulls_last("adj_p_value"), F.desc_nulls_last(tcol), F.desc_nulls_last("log_fc"), gene)
 
 
+def expressing_counts(expr: DataFrame, value: str, group: str, threshold: float = 0.3, gene: str = GENE) -> DataFrame:
+    """(gene, cluster, a, b, c, d): cells over the threshold and not over it, in the group and in the rest."""
+    x = nan_to_null(F.col(value))
+    over = (x > threshold).cast("long")
+    m = expr.groupBy(gene, group).agg(F.sum(over).alias("a"), (F.count(x) - F.sum(over)).alias("b"))
+    w = Window.partitionBy(gene)
+    return m.withColumn("c", F.sum("a").over(w) - F.col("a")).withColumn("d", F.sum("b").over(w) - F.col("b")).withColumnRenamed(group, "cluster")
+
+
 def fisher_expressing(expr: DataFrame, value: str, group: str, threshold: float = 0.3, gene: str = GENE) -> DataFrame:
     """(gene, cluster, a, b, c, d, odds_ratio, or_p_value, or_adj_p_value): cells over the threshold in the group and the rest."""
-    over = (F.col(value) > threshold).cast("long")
-    m = expr.groupBy(gene, group).agg(F.sum(over).alias("a"), (F.count(value) - F.sum(over)).alias("b"))
-    w = Window.partitionBy(gene)
-    m = m.withColumn("c", F.sum("a").over(w) - F.col("a")).withColumn("d", F.sum("b").over(w) - F.col("b")).withColumnRenamed(group, "cluster")
+    m = expressing_counts(expr, value, group, threshold, gene)
     m = m.withColumn("__f", udfs.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
     m = m.withColumn("odds_ratio", F.col("__f.odds_ratio")).withColumn("or_p_value", F.col("__f.p_value")).drop("__f")
     return bh_adjust(m, "or_p_value", ["cluster"], "or_adj_p_value")

@@ -13,6 +13,7 @@ from cellorium.functions import udfs
 from cellorium.operators import cluster, de, reduce
 from cellorium.operators.groupstats import median_rank_filled, occurrence, pseudobulk, weighted_mean
 from cellorium.operators.relational import bh_adjust, common_keys, dedup_first, fractional_rank, max_companion, top_k_per_group, zscore
+from cellorium.session import cut_lineage
 
 
 def dataset_of(c: Column) -> Column:
@@ -125,6 +126,7 @@ def rank_genes(study: DataFrame, sort_by: str = "median_rank", weight: str | Non
     aggregates of one groupBy (meta_cluster, gene_id); ranks are per (meta_cluster, study).
     """
     keys = ["meta_cluster", GENE]
+    study = cut_lineage(study)  # a row per meta-cluster, gene and study, used three times
     s = fractional_rank(study, ["meta_cluster", "study"], "t", "t_rank")
     s = s.withColumn("w", F.sqrt((F.col("n_case") + F.col("n_control")).cast("double")) * (F.col(weight) if weight else F.lit(1.0)))
     zs, zp = stouffer("z", "w")

@@ -64,6 +64,49 @@ def _key(c: str) -> str:
     return LAB.format(k=k)
 
 
+def _simpson(f: str, upto: str) -> str:
+    """SQL of the integral of ``f`` (of u) from 0 to ``upto``, 2,000 steps."""
+    return f"(({upto}) / 6000 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.replace('{u}', f'(({upto}) * i / 2000)')})) FROM range(0, 2001) q(i)))"
+
+
+def _beta_sql(a: str, b: str, x: str) -> str:
+    """SQL of the regularised incomplete beta function."""
+    return f"(exp(lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b})) * 2 * {_simpson('pow(sin({u}), 2 * (' + a + ') - 1) * pow(cos({u}), 2 * (' + b + ') - 1)', f'asin(sqrt({x}))')})"
+
+
+def _t_sql(t: str, k: str) -> str:
+    return _beta_sql(f"({k}) / 2.0", "0.5", f"({k}) / (({k}) + ({t}) * ({t}))")
+
+
+def _f_sql(f: str, d1: str, d2: str) -> str:
+    return _beta_sql(f"({d2}) / 2.0", f"({d1}) / 2.0", f"({d2}) / (({d2}) + ({d1}) * ({f}))")
+
+
+def _norm_sql(z: str) -> str:
+    """SQL of the two-sided normal tail."""
+    return f"greatest(1 - sqrt(2 / pi()) * {_simpson('exp(-{u} * {u} / 2)', f'least(abs({z}), 12)')}, 0)"
+
+
+def _chi2_sql(x: str, k: str) -> str:
+    return f"greatest(1 - exp((1 - ({k}) / 2.0) * ln(2) - lgamma(({k}) / 2.0)) * {_simpson('pow({u}, (' + k + ') - 1) * exp(-{u} * {u} / 2)', f'sqrt({x})')}, 0)"
+
+
+def _bh_sql(table: str, p: str, out: str, family: str) -> str:
+    """SQL: ``table`` with the Benjamini-Hochberg adjusted ``p`` inside ``family``."""
+    part = f"PARTITION BY {family}" if family else ""
+    ranks = f"SELECT *, rank() OVER ({part} ORDER BY {p}) + count(*) OVER (PARTITION BY {family + ', ' if family else ''}{p}) - 1 AS bh_rk, count(*) OVER ({part}) AS bh_n FROM {table}"
+    return f"(SELECT * EXCLUDE (bh_rk, bh_n), least(1.0, min({p} * bh_n / bh_rk) OVER ({part} ORDER BY bh_rk DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS {out} FROM ({ranks}))"
+
+
+def _near(*names: str) -> list:
+    """Columns rounded to six digits after a nudge, as SQL does it with :func:`_near_sql`."""
+    return [F.round(F.col(n) + 1e-11, 6).alias(n) for n in names]
+
+
+def _near_sql(*names: str) -> str:
+    return ", ".join(f"round({n} + 1e-11, 6) AS {n}" for n in names)
+
+
 # ---- reshaping, selection, ranking -------------------------------------------------
 
 
@@ -440,14 +483,58 @@ def aov_f(spark, d):
     return de.aov_f(_expr(spark, d), "value", "label").select(GENE, _r("f_stat", "f_stat"))
 
 
-@query()
+_F = f"""{E}, m AS (SELECT gene_id, label, count(*) AS n, avg(x) AS m, coalesce(var_samp(x) * (count(*) - 1), 0) AS ss FROM e GROUP BY 1, 2), g AS (SELECT gene_id, sum(n * m) / sum(n) AS gm, sum(n)::DOUBLE AS nt, count(*)::DOUBLE AS k FROM m GROUP BY 1),
+f AS (SELECT gene_id, any_value(k) AS k, any_value(nt) AS nt, sum(n * (m - gm) * (m - gm)) / (any_value(k) - 1) / (sum(ss) / (any_value(nt) - any_value(k))) AS f_stat FROM m JOIN g USING (gene_id) GROUP BY 1)"""
+
+
+@query(f"{_F}, p AS (SELECT *, {_f_sql('f_stat', 'k - 1', 'nt - k')} AS f_pvalue FROM f) SELECT gene_id, {_near_sql('f_pvalue', 'f_adjp')} FROM {_bh_sql('p', 'f_pvalue', 'f_adjp', '')}")
+def aov_p(spark, d):
+    return relational.bh_adjust(de.aov(_expr(spark, d), "value", "label"), "f_pvalue", out="f_adjp").select(GENE, *_near("f_pvalue", "f_adjp"))
+
+
+#: Studentized range: the range of ten normals on a grid of 0.01, then the mean over the scaled chi of 200 steps; pairs with p_adj are in ``tk``.
+_TUKEY = f"""{_F}, z AS (SELECT gi AS i, -8 + gi * 0.01 AS z, 0.5 + sign(gi - 800) * (1 - ({_norm_sql('-8 + gi * 0.01')})) / 2 AS cdf FROM range(0, 2801) g(gi)), rg AS (SELECT j, 10 * sum((CASE WHEN a.i IN (0, 1600) THEN 1 WHEN a.i % 8 = 4 THEN 4 ELSE 2 END) * 0.04 / 3 * exp(-a.z * a.z / 2) / sqrt(2 * pi()) * pow(b.cdf - a.cdf, 9)) AS r
+FROM (SELECT * FROM z WHERE i <= 1600 AND i % 4 = 0) a CROSS JOIN range(0, 1201) w(j) JOIN z b ON b.i = a.i + j GROUP BY 1),
+pr AS (SELECT a.gene_id, a.label AS g_low, b.label AS g_high, b.m - a.m AS diff, a.n AS n_low, b.n AS n_high, e.mse, e.df, abs(b.m - a.m) / sqrt(e.mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS q FROM m a JOIN m b ON a.gene_id = b.gene_id AND a.label < b.label JOIN (SELECT gene_id, sum(ss) / (any_value(nt) - any_value(k)) AS mse, any_value(nt) - any_value(k) AS df FROM m JOIN g USING (gene_id) GROUP BY 1) e ON e.gene_id = a.gene_id),
+sg AS (SELECT i, 1 + (i - 100) * 0.09 / sqrt(2 * df) AS s, df, (CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.09 / sqrt(2 * df) / 3 AS w FROM range(0, 201) g(i), (SELECT DISTINCT df FROM pr)), sd AS (SELECT df, s, w * exp(ln(2) + df / 2 * ln(df / 2) - lgamma(df / 2) + (df - 1) * ln(s) - df * s * s / 2) AS w FROM sg),
+tk AS (SELECT gene_id, g_low, g_high, any_value(diff) AS diff, any_value(n_low) AS n_low, any_value(n_high) AS n_high, least(greatest(1 - sum(w * (lo.r + (hi.r - lo.r) * (q * s * 100 - lo.j))), 0), 1) AS p_adj FROM pr JOIN sd ON sd.df = pr.df JOIN rg lo ON lo.j = floor(q * s * 100) JOIN rg hi ON hi.j = lo.j + 1 GROUP BY 1, 2, 3)"""
+_TABLE = f"""{_TUKEY}, fa AS (SELECT * FROM {_bh_sql(f"(SELECT *, {_f_sql('f_stat', 'k - 1', 'nt - k')} AS f_pvalue FROM f)", 'f_pvalue', 'f_adjp', '')}),
+kr AS (SELECT gene_id, label, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene_id, x) AS t FROM e), kg AS (SELECT gene_id, label, count(*)::DOUBLE AS n, sum(r) AS s, sum(t * t - 1)::DOUBLE AS ties FROM kr GROUP BY 1, 2),
+kh AS (SELECT gene_id, count(*)::DOUBLE AS k, sum(ties) AS ties, sum(n) AS nt, (12.0 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - sum(ties) / (sum(n) * sum(n) * sum(n) - sum(n))) AS h_stat FROM kg GROUP BY 1), ka AS (SELECT * FROM {_bh_sql(f"(SELECT *, {_chi2_sql('h_stat', 'k - 1')} AS kruskal_pvalue FROM kh)", 'kruskal_pvalue', 'kruskal_adjp', '')}),
+bp AS (SELECT gene_id, p_adj AS min_padj, diff AS min_padj_diff, g_high || '-' || g_low AS min_padj_cmp FROM tk QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY p_adj, abs(diff) DESC, g_low, g_high) = 1),
+tp AS (SELECT gene_id, max(CASE WHEN rn = 1 THEN label END) AS g1, max(CASE WHEN rn = 2 THEN label END) AS g2 FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY m DESC, label) AS rn FROM m) GROUP BY 1),
+td AS (SELECT tk.gene_id, p_adj AS min_diff_padj, diff AS min_diff, g_high || '-' || g_low AS min_diff_cmp FROM tk JOIN tp ON tp.gene_id = tk.gene_id AND g_low = least(g1, g2) AND g_high = greatest(g1, g2)),
+tb AS (SELECT gene_id, f_stat, f_pvalue, f_adjp, h_stat, kruskal_pvalue, kruskal_adjp, min_padj, min_padj_diff, min_padj_cmp, min_diff_padj, min_diff, min_diff_cmp, f_adjp < 0.01 AND min_padj < 0.01 AND abs(min_padj_diff) >= 0.01 AS significant FROM fa JOIN ka USING (gene_id) JOIN bp USING (gene_id) JOIN td USING (gene_id))"""
+_TABLE_COLS = ("f_stat", "f_pvalue", "f_adjp", "h_stat", "kruskal_pvalue", "kruskal_adjp", "min_padj_diff", "min_diff")
+
+
+def _table_cols() -> list:
+    return [*_near(*_TABLE_COLS), *[F.round(F.col(c) + 2e-6, 3).alias(c) for c in ("min_padj", "min_diff_padj")], "min_padj_cmp", "min_diff_cmp", "significant"]
+
+
+_TABLE_SQL = _near_sql(*_TABLE_COLS) + ", round(min_padj + 2e-6, 3) AS min_padj, round(min_diff_padj + 2e-6, 3) AS min_diff_padj, min_padj_cmp, min_diff_cmp, significant"
+
+
+@query(f"""{_TABLE}, hf AS (SELECT gene_id, g_high AS g, p_adj, diff FROM tk UNION ALL SELECT gene_id, g_low, p_adj, -diff FROM tk), gs AS (SELECT gene_id, g, bool_and(p_adj < 0.01) AS sp, bool_and(diff > 0) AS up, bool_and(diff < 0) AS down FROM hf GROUP BY 1, 2),
+sp AS (SELECT gene_id, count(*) FILTER (WHERE sp) = 1 AS is_specific, max(CASE WHEN sp THEN g END) AS g, max(CASE WHEN sp THEN CASE WHEN up THEN 'UP' WHEN down THEN 'DOWN' ELSE 'INCONSISTANT' END END) AS dir FROM gs GROUP BY 1)
+SELECT gene_id, {_TABLE_SQL}, is_specific, CASE WHEN is_specific THEN g END AS label, CASE WHEN is_specific THEN dir END AS direction FROM tb JOIN sp USING (gene_id)""")
 def aov_table(spark, d):
-    return de.find_de_genes(_expr(spark, d), "value", "label", pair_diff=0.01, specific=True)
+    return de.find_de_genes(_expr(spark, d), "value", "label", pair_diff=0.01, specific=True).select(GENE, *_table_cols(), "is_specific", "label", "direction")
 
 
-@query()
+#: Additive group + batch model of every gene by backfitting; rows are (gene, group, batch) with effects a and b.
+_ADD = f"""WITH RECURSIVE {E[5:]}, c AS (SELECT gene_id, label, batch, count(*)::DOUBLE AS n, avg(x) AS m, coalesce(var_samp(x) * (count(*) - 1), 0) AS ss FROM e GROUP BY 1, 2, 3),
+it AS (SELECT 0 AS step, *, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM c UNION ALL
+SELECT step + 1, gene_id, label, batch, n, m, ss, a, sum(n * (m - a)) OVER (PARTITION BY gene_id, batch) / sum(n) OVER (PARTITION BY gene_id, batch) FROM
+(SELECT step, gene_id, label, batch, n, m, ss, sum(n * (m - b)) OVER (PARTITION BY gene_id, label) / sum(n) OVER (PARTITION BY gene_id, label) AS a FROM it WHERE step < 60)), fit AS (SELECT * FROM it WHERE step = 60)"""
+
+
+@query(f"""{_ADD}, g AS (SELECT gene_id, sum(n * m) / sum(n) AS gm, sum(n) AS nt, count(DISTINCT label)::DOUBLE AS k, count(DISTINCT batch)::DOUBLE AS nb FROM c GROUP BY 1), b AS (SELECT gene_id, label, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1, 2),
+s AS (SELECT gene_id, sum(n * (m - gm) * (m - gm)) AS ssb FROM b JOIN g USING (gene_id) GROUP BY 1), r AS (SELECT gene_id, sum(ss + n * (m - a - b) * (m - a - b)) AS rss FROM fit GROUP BY 1),
+y AS (SELECT gene_id, k, nt - k - nb + 1 AS df_residual, rss / (nt - k - nb + 1) AS mse, ssb / (k - 1) / (rss / (nt - k - nb + 1)) AS f_stat FROM g JOIN s USING (gene_id) JOIN r USING (gene_id)), z AS (SELECT *, {_f_sql('f_stat', 'k - 1', 'df_residual')} AS f_pvalue FROM y)
+SELECT gene_id, {_near_sql('f_stat', 'f_pvalue', 'mse')}, df_residual FROM z""")
 def aov_batch(spark, d):
-    return de.aov_batch(_expr(spark, d), "value", "label", "batch")
+    return de.aov_batch(_expr(spark, d), "value", "label", "batch").select(GENE, *_near("f_stat", "f_pvalue", "mse"), "df_residual")
 
 
 @query(f"""{E}, r AS (SELECT gene_id, label, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene_id, x) AS t FROM e),
@@ -457,19 +544,31 @@ def kruskal_h(spark, d):
     return de.kruskal_h(_expr(spark, d), "value", "label").select(GENE, _r("h_stat", "h_stat"))
 
 
+_KW = f"""{E}, r AS (SELECT gene_id, label, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene_id, x) AS t FROM e),
+g AS (SELECT gene_id, label, count(*)::DOUBLE AS n, sum(r) AS s, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1, 2), a AS (SELECT gene_id, sum(n) AS n, count(*)::DOUBLE AS k, sum(s * s / n) AS q, sum(ties) AS ties FROM g GROUP BY 1),
+h AS (SELECT gene_id, n, k, ties, (12.0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h_stat FROM a)"""
+
+
+@query(f"{_KW} SELECT gene_id, round({_chi2_sql('h_stat', 'k - 1')} + 1e-11, 6) AS kruskal_pvalue FROM h")
+def kruskal_p(spark, d):
+    return de.kruskal(_expr(spark, d), "value", "label").select(GENE, *_near("kruskal_pvalue"))
+
+
 @query(f"{E}, m AS (SELECT gene_id, label, avg(x) AS m FROM e GROUP BY 1, 2) SELECT a.gene_id, a.label AS g_low, b.label AS g_high, round(b.m - a.m, 6) + 0.0 AS diff FROM m a JOIN m b ON a.gene_id = b.gene_id AND a.label < b.label")
 def tukey_diff(spark, d):
     return de.pair_differences(_expr(spark, d), "value", "label").select(GENE, "g_low", "g_high", _r("diff", "diff"))
 
 
-@query()
+@query(f"{_TUKEY} SELECT gene_id, g_low, g_high, {_near_sql('diff')}, round(p_adj + 2e-6, 3) AS p_adj, n_low, n_high FROM tk")
 def tukey_p(spark, d):
-    return de.tukey_hsd(_expr(spark, d), "value", "label")
+    return de.tukey_hsd(_expr(spark, d), "value", "label").select(GENE, "g_low", "g_high", *_near("diff"), F.round(F.col("p_adj") + 2e-6, 3).alias("p_adj"), "n_low", "n_high")
 
 
-@query()
+@query(f"""{_KW}, w AS (SELECT a.gene_id, a.label AS g_low, b.label AS g_high, b.s / b.n - a.s / a.n AS diff, a.n AS n1, b.n AS n2, h.n, h.k, h_stat, ((h.n * (h.n + 1) * (2 * h.n + 1)) / 6 - h.ties / 12 - h.n * (h.n + 1) * (h.n + 1) / 4) / (h.n - 1) AS s2 FROM g a JOIN g b ON a.gene_id = b.gene_id AND a.label < b.label JOIN h ON h.gene_id = a.gene_id),
+t AS (SELECT *, diff / sqrt(s2 * (n - 1 - h_stat) / (n - k) * (1 / n1 + 1 / n2)) AS t FROM w), p AS (SELECT *, {_t_sql('t', 'n - k')} AS p FROM t)
+SELECT gene_id, g_low, g_high, {_near_sql('diff', 'p_adj')}, n1::BIGINT AS n_low, n2::BIGINT AS n_high FROM {_bh_sql('p', 'p', 'p_adj', 'gene_id')}""")
 def kruskal_posthoc(spark, d):
-    return de.kruskal_posthoc(_expr(spark, d), "value", "label")
+    return de.kruskal_posthoc(_expr(spark, d), "value", "label").select(GENE, "g_low", "g_high", *_near("diff", "p_adj"), "n_low", "n_high")
 
 
 @query(f"{E}, m AS (SELECT gene_id, label, avg(x) AS m FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY m DESC, label) AS rn FROM m) SELECT gene_id, max(CASE WHEN rn = 1 THEN label END) AS g_first, max(CASE WHEN rn = 2 THEN label END) AS g_second FROM r GROUP BY 1")
@@ -484,9 +583,12 @@ def marker_auc(spark, d):
     return de.marker_auc(_expr(spark, d), "value", "label").select(GENE, "cluster", _r("auc", "auc"))
 
 
-@query()
+@query(f"""{_TABLE}, mg AS (SELECT kg.gene_id, kg.label AS cluster, kg.n AS n1, nt - kg.n AS n0, kg.s AS rs, kh.ties FROM kg JOIN kh USING (gene_id) JOIN m ON m.gene_id = kg.gene_id AND m.label = kg.label QUALIFY row_number() OVER (PARTITION BY kg.gene_id ORDER BY m.m DESC, kg.label) = 1),
+mu AS (SELECT *, (rs - n1 * (n1 + 1) / 2) / (n1 * n0) AS auc, rs - n1 * (n1 + 1) / 2 - n1 * n0 / 2 AS dv, sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sdv FROM mg), mp AS (SELECT gene_id, cluster, auc, {_norm_sql('(dv - sign(dv) * 0.5) / sdv')} AS score_p_value FROM mu),
+mq AS (SELECT * FROM {_bh_sql('mp', 'score_p_value', 'score_q_value', '')}) SELECT gene_id, cluster, {_near_sql('auc', 'score_p_value', 'score_q_value')}, {_TABLE_SQL} FROM tb JOIN mq USING (gene_id)""")
 def marker_genes(spark, d):
-    return de.marker_genes(_expr(spark, d), "value", "label", pair_diff=0.01, keep_all=True)[0]
+    got = de.marker_genes(_expr(spark, d), "value", "label", pair_diff=0.01, keep_all=True)[0]
+    return got.select(GENE, "cluster", *_near("auc", "score_p_value", "score_q_value"), *_table_cols())
 
 
 _OVR = f"{E}, g AS (SELECT gene_id, label AS cluster FROM e GROUP BY 1, 2), v AS (SELECT g.gene_id, g.cluster, count(*) FILTER (WHERE e.label = g.cluster)::DOUBLE AS n1, count(*) FILTER (WHERE e.label <> g.cluster)::DOUBLE AS n0, avg(x) FILTER (WHERE e.label = g.cluster) AS m1, avg(x) FILTER (WHERE e.label <> g.cluster) AS m0, stddev_samp(x) FILTER (WHERE e.label = g.cluster) AS s1, stddev_samp(x) FILTER (WHERE e.label <> g.cluster) AS s0 FROM g JOIN e USING (gene_id) GROUP BY 1, 2)"
@@ -508,19 +610,36 @@ def effect_size(spark, d):
     return de.effect_size(de.one_vs_rest(_expr(spark, d), "value", "label")).select(GENE, "cluster", _r("dprime", "dprime"), _r("vardprime", "vardprime"))
 
 
-@query()
+_TT = f"""{_OVR}, t AS (SELECT *, m1 - m0 AS log_fc, n1 + n0 - 2 AS df, (m1 - m0) / sqrt(((n1 - 1) * s1 * s1 + (n0 - 1) * s0 * s0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)) AS t_stat FROM v), tp AS (SELECT *, {_t_sql('t_stat', 'df')} AS p_value FROM t)"""
+
+
+@query(f"""{_TT}, r AS (SELECT gene_id, label, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene_id, x) AS t FROM e), rt AS (SELECT gene_id, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1),
+u AS (SELECT gene_id, label AS cluster, sum(r) AS rs FROM r GROUP BY 1, 2), w AS (SELECT tp.*, rs - n1 * (n1 + 1) / 2 - n1 * n0 / 2 AS dv, sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sdv FROM tp JOIN u USING (gene_id, cluster) JOIN rt USING (gene_id)),
+x AS (SELECT *, {_norm_sql('(dv - sign(dv) * 0.5) / sdv')} AS wilcox_p_value FROM w), y AS (SELECT * FROM {_bh_sql('x', 'p_value', 'adj_p_value', 'cluster')}), z AS (SELECT * FROM {_bh_sql('y', 'wilcox_p_value', 'wilcox_adj_p_value', 'cluster')})
+SELECT gene_id, cluster, n1::BIGINT AS n_case, n0::BIGINT AS n_control, {_near_sql('log_fc', 't_stat', 'p_value', 'wilcox_p_value', 'adj_p_value', 'wilcox_adj_p_value')}, adj_p_value < 0.05 AND abs(log_fc) > 0.05 AS significant FROM z""")
 def naive_de(spark, d):
-    return de.naive_de(_expr(spark, d), "value", "label")
+    v = de.naive_de(_expr(spark, d), "value", "label", least_fc=0.05)
+    return v.select(GENE, "cluster", "n_case", "n_control", *_near("log_fc", "t_stat", "p_value", "wilcox_p_value", "adj_p_value", "wilcox_adj_p_value"), "significant")
+
+
+@query(f"""{E}, c AS (SELECT gene_id, batch, label, count(*)::DOUBLE AS n, sum(x) AS s, sum(x * x) AS q FROM e GROUP BY 1, 2, 3), b AS (SELECT gene_id, batch, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM c GROUP BY 1, 2),
+w AS (SELECT c.gene_id, c.label AS cluster, c.n * (b.n - c.n) / b.n AS w, c.s / c.n - (b.s - c.s) / (b.n - c.n) AS d FROM c JOIN b ON c.gene_id = b.gene_id AND c.batch = b.batch), k AS (SELECT gene_id, cluster, sum(w) AS w, sum(w * d) / sum(w) AS log_fc FROM w GROUP BY 1, 2),
+g AS (SELECT gene_id, sum(n) AS n, sum(s) / sum(n) AS ave_expr, sum(q - s * s / n) AS within, count(*) AS nb FROM b GROUP BY 1), f AS (SELECT gene_id, cluster, log_fc, ave_expr, n - nb - 1 AS df, (within - w * log_fc * log_fc) / (n - nb - 1) AS s2, 1 / sqrt(w) AS u FROM k JOIN g USING (gene_id))
+SELECT gene_id, cluster, {_near_sql('log_fc', 'ave_expr', 's2', 'u')}, df FROM f""")
+def limma_fit(spark, d):
+    """Coefficient, residual variance and unscaled deviation of every group against the rest, batches modelled."""
+    f = de.linear_fits(_expr(spark, d), "value", "label", [f"C{i}" for i in range(10)], "batch", as_two=True)
+    return f.select(GENE, "cluster", *_near("log_fc", "ave_expr", "s2", "u"), "df")
 
 
 @query()
 def limma_de(spark, d):
-    return de.limma(_expr(spark, d), "value", "label", "C3", "batch")
+    return de.limma(_expr(spark, d), "value", "label", "C3", "batch", stats_over=0.1)
 
 
 @query()
 def de_genes(spark, d):
-    return de.de_genes(_expr(spark, d), "value", "label", ["C0", "C1"], method="limma", threshold=0.1)
+    return de.de_genes(_expr(spark, d), "value", "label", method="limma", threshold=0.1)
 
 
 @query(f"{E} SELECT gene_id, label AS cluster, sum((x > 0.1)::INT)::BIGINT AS a, sum((x <= 0.1)::INT)::BIGINT AS b, (sum(sum((x > 0.1)::INT)) OVER (PARTITION BY gene_id) - sum((x > 0.1)::INT))::BIGINT AS c, (sum(sum((x <= 0.1)::INT)) OVER (PARTITION BY gene_id) - sum((x <= 0.1)::INT))::BIGINT AS d FROM e GROUP BY 1, 2")
@@ -528,19 +647,30 @@ def fisher_counts(spark, d):
     return de.fisher_expressing(_expr(spark, d), "value", "label", 0.1).select(GENE, "cluster", "a", "b", "c", "d")
 
 
+_FISHER = f"""{E}, c AS (SELECT gene_id, label AS cluster, sum((x > 0.1)::INT)::BIGINT AS a, sum((x <= 0.1)::INT)::BIGINT AS b, (sum(sum((x > 0.1)::INT)) OVER (PARTITION BY gene_id) - sum((x > 0.1)::INT))::BIGINT AS c, (sum(sum((x <= 0.1)::INT)) OVER (PARTITION BY gene_id) - sum((x <= 0.1)::INT))::BIGINT AS d FROM e GROUP BY 1, 2),
+l AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + c, a + b) + 1)) AS x FROM c), h AS (SELECT *, -lgamma(x + 1.0) - lgamma(a + b - x + 1.0) - lgamma(a + c - x + 1.0) - lgamma(d - a + x + 1.0) + lgamma(a + b + 1.0) + lgamma(c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0) - lgamma(a + b + c + d + 1.0) AS lp FROM l),
+k AS (SELECT *, max(CASE WHEN x = a THEN lp END) OVER (PARTITION BY gene_id, cluster) AS own FROM h), p AS (SELECT gene_id, cluster, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, least(1.0, sum(CASE WHEN lp <= own + 1e-7 THEN exp(lp) ELSE 0 END)) AS or_p_value FROM k GROUP BY 1, 2)"""
+
+
+@query(f"{_FISHER} SELECT gene_id, cluster, a, b, c, d, {_near_sql('or_p_value', 'or_adj_p_value')} FROM {_bh_sql('p', 'or_p_value', 'or_adj_p_value', 'cluster')}")
+def fisher_p(spark, d):
+    return de.fisher_expressing(_expr(spark, d), "value", "label", 0.1).select(GENE, "cluster", "a", "b", "c", "d", *_near("or_p_value", "or_adj_p_value"))
+
+
 @query()
 def fisher_exact(spark, d):
     return de.fisher_expressing(_expr(spark, d), "value", "label", 0.1)
 
 
-@query()
+@query(f"""{_OVR}, z AS (SELECT gene_id, label, x, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM e WINDOW w AS (PARTITION BY gene_id)), gr AS (SELECT gene_id, label, avg(x) AS mean, avg(z) AS mean_scale, stddev_samp(x) AS sd, count(x) AS length, avg((z > 0.1)::INT) AS freq FROM z GROUP BY 1, 2),
+y AS (SELECT gr.*, (m1 - m0) / (s1 + s0) AS snr FROM gr JOIN v ON v.gene_id = gr.gene_id AND v.cluster = gr.label) SELECT gene_id, label, {_near_sql('mean', 'mean_scale', 'sd', 'freq', 'snr')}, length FROM y""")
 def group_profile(spark, d):
-    return de.group_profile(_expr(spark, d), "value", "label", 0.1)
+    return de.group_profile(_expr(spark, d), "value", "label", 0.1).select(GENE, "label", *_near("mean", "mean_scale", "sd", "freq", "snr"), "length")
 
 
-@query()
+@query(f"{_ADD}, o AS (SELECT gene_id, batch, any_value(b) AS b FROM fit GROUP BY 1, 2), z AS (SELECT gene_id, b AS b0 FROM o WHERE batch = 0), y AS (SELECT e.gene_id, e.cell_id, e.x - o.b + z.b0 AS adj FROM e JOIN o ON o.gene_id = e.gene_id AND o.batch = e.batch JOIN z ON z.gene_id = e.gene_id) SELECT gene_id, cell_id, {_near_sql('adj')} FROM y")
 def batch_coefficients_removed(spark, d):
-    return de.remove_batch_coefficients(_expr(spark, d), "value", "label", "batch", "adj").select(GENE, CELL, "adj")
+    return de.remove_batch_coefficients(_expr(spark, d), "value", "label", "batch", "adj").select(GENE, CELL, *_near("adj"))
 
 
 # ---- integration ----------------------------------------------------------------------
@@ -561,16 +691,33 @@ def fisher_chisq_p(spark, d):
 
 def _studies(spark, d) -> DataFrame:
     """A multi-assay study table from one-vs-rest comparisons of each batch: groups are meta-clusters, batches are studies."""
+    from cellorium.functions import udfs
+
     e = _expr(spark, d)
     out = None
     for b in range(3):
-        v = de.effect_size(de.naive_t(de.one_vs_rest(e.filter(F.col("batch") == b), "value", "label")))
-        p = v.select(F.col("cluster").alias("meta_cluster"), GENE, F.lit(f"S{b}").alias("study"), "dprime", "vardprime", F.col("t_stat").alias("t"), F.col("log_fc"), F.col("mean_case").alias("mean_scale"), "n_case", "n_control", F.col("t_stat").alias("z"))
+        own = e.filter(F.col("batch") == b)
+        v = de.effect_size(de.naive_t(de.one_vs_rest(own, "value", "label")))
+        over = de.expressing_counts(own, "value", "label", 0.1)
+        scaled = groupstats.pseudobulk(own, "value", ["label"], "zscore").select(GENE, F.col("label").alias("cluster"), F.col("avg").alias("mean_scale"))
+        p = v.join(over, [GENE, "cluster"]).join(scaled, [GENE, "cluster"]).select(
+            F.col("cluster").alias("meta_cluster"), GENE, F.lit(f"S{b}").alias("study"), "dprime", "vardprime", F.col("t_stat").alias("t"), "log_fc", "mean_scale", "n_case", "n_control", F.col("t_stat").alias("z"),
+            udfs.t_sf2(F.col("t_stat"), F.col("df")).alias("p_value"), (F.col("a") / (F.col("a") + F.col("b"))).alias("freq_case"), (F.col("c") / (F.col("c") + F.col("d"))).alias("freq_control"),
+        )
         out = p if out is None else out.unionByName(p)
-    from cellorium.functions import udfs
+    out = relational.bh_adjust(out, "p_value", ["meta_cluster", "study"], "adj_p")
+    return out.withColumn("sig", ((F.col("p_value") < 0.05) & (F.col("log_fc") > 0)).cast("int"))
+
 
-    out = out.withColumn("p_value", udfs.norm_sf2(F.col("t"))).withColumn("adj_p", F.col("p_value")).withColumn("sig", (F.abs("t") > 2).cast("int"))
-    return out.withColumn("freq_case", F.lit(0.5) + F.col("mean_scale") / 4).withColumn("freq_control", F.lit(0.5))
+_STUDY = f"""{E}, g AS (SELECT gene_id, batch, label, count(*)::DOUBLE AS n1, avg(x) AS m1, var_samp(x) AS v1, sum((x > 0.1)::INT)::DOUBLE AS a FROM e GROUP BY 1, 2, 3), w AS (SELECT gene_id, batch, count(*)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS vv, stddev_samp(x) AS sd, sum((x > 0.1)::INT)::DOUBLE AS over FROM e GROUP BY 1, 2),
+o AS (SELECT g.gene_id, 'S' || g.batch AS study, label AS meta_cluster, n1, n - n1 AS n0, m1, (n * m - n1 * m1) / (n - n1) AS m0, (n1 - 1) * v1 AS ss1, (n - 1) * vv AS sst, m, (m1 - m) / sd AS mean_scale, a / n1 AS freq_case, (over - a) / (n - n1) AS freq_control FROM g JOIN w ON g.gene_id = w.gene_id AND g.batch = w.batch),
+q AS (SELECT *, m1 - m0 AS log_fc, sqrt((sst - n1 * (m1 - m) * (m1 - m) - n0 * (m0 - m) * (m0 - m)) / (n1 + n0 - 2)) AS s FROM o), t AS (SELECT *, log_fc / (s * sqrt(1 / n1 + 1 / n0)) AS t, log_fc / s AS dprime, (n1 + n0) / (n1 * n0) + (log_fc / s) * (log_fc / s) / (2 * (n1 + n0)) AS vardprime FROM q),
+tp AS (SELECT *, {_t_sql('t', 'n1 + n0 - 2')} AS p_value FROM t), ap AS (SELECT * FROM {_bh_sql('tp', 'p_value', 'adj_p', 'meta_cluster, study')}),
+st AS (SELECT *, (p_value < 0.05 AND log_fc > 0)::INT AS sig, (rank() OVER (PARTITION BY meta_cluster, study ORDER BY t DESC) + (count(*) OVER (PARTITION BY meta_cluster, study, t) - 1) / 2.0) / count(*) OVER (PARTITION BY meta_cluster, study) AS t_rank, sqrt(n1 + n0) AS w, count(*) OVER (PARTITION BY meta_cluster, gene_id) AS k FROM ap)"""
+_RANKED = f"""{_STUDY}, rk AS (SELECT meta_cluster, gene_id, sum(sig)::BIGINT AS n_sig, avg(sig) AS freq_sig, count(*) AS n_studies, median(log_fc) AS median_log_fc, median(mean_scale) AS median_mean_scale, median(t_rank) AS median_rank, sum(t * w) / sqrt(sum(w * w)) AS z_sum, sum(freq_case * n1) / sum(n1) AS freq_comb, median(freq_case) AS freq_median, avg(freq_case) AS freq_mean,
+max(dprime) AS dprime_max, arg_max(p_value, dprime) AS dprime_max_p, arg_max(adj_p, dprime) AS dprime_max_adj_p, sum(dprime / vardprime) / sum(1 / vardprime) AS es_combi, 1 / sqrt(sum(1 / vardprime)) AS es_combi_sd, sum(-ln(greatest(p_value, 1e-300))) AS h FROM st GROUP BY 1, 2),
+rp AS (SELECT *, {_norm_sql('z_sum')} AS p_stouffer, least(1.0, exp(-h) * (1 + h + h * h / 2)) AS p_fisher FROM rk), ra AS (SELECT * FROM {_bh_sql('rp', 'p_stouffer', 'p_stouffer_adj', 'meta_cluster')}), rf AS (SELECT * FROM {_bh_sql('ra', 'p_fisher', 'p_fisher_adj', 'meta_cluster')})"""
+_RANK_COLS = ("freq_sig", "median_log_fc", "median_mean_scale", "median_rank", "z_sum", "freq_comb", "freq_median", "freq_mean", "dprime_max", "dprime_max_p", "dprime_max_adj_p", "es_combi", "es_combi_sd", "p_stouffer", "p_stouffer_adj", "p_fisher", "p_fisher_adj")
 
 
 @query()
@@ -578,6 +725,12 @@ def rank_genes(spark, d):
     return integrate.rank_genes(_studies(spark, d))
 
 
+@query(f"{_RANKED} SELECT meta_cluster, gene_id, n_sig, n_studies, {_near_sql(*_RANK_COLS)}, es_combi > 0.15 AND p_stouffer_adj < 0.01 AS sig_comb FROM rf")
+def rank_genes_values(spark, d):
+    """The ranked table without the odds ratio, which has no closed form."""
+    return integrate.rank_genes(_studies(spark, d)).select("meta_cluster", GENE, "n_sig", "n_studies", *_near(*_RANK_COLS), "sig_comb")
+
+
 @query(f"""{_OVR.replace("FROM g JOIN e USING (gene_id) GROUP BY 1, 2", "FROM g JOIN e USING (gene_id) WHERE batch = 0 GROUP BY 1, 2")}, w AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * s1 * s1 + (n0 - 1) * s0 * s0) / (n1 + n0 - 2)) AS dp FROM v), y AS (SELECT gene_id, cluster, dp, (n1 + n0) / (n1 * n0) + dp * dp / (2 * (n1 + n0)) AS vd FROM w)
 SELECT cluster, round(sum(dp / vd) / sum(1 / vd), 6) + 0.0 AS es_combi, round(1 / sqrt(sum(1 / vd)), 6) + 0.0 AS es_combi_sd FROM y GROUP BY 1""")
 def combine_effects(spark, d):
@@ -787,9 +940,11 @@ def umap_embedding(spark, d):
     return reduce.matrix_frame(v, ids, embed.umap(x, epochs=50))
 
 
-@query()
+@query(f"""{_RANKED}, pick AS (SELECT *, row_number() OVER (PARTITION BY meta_cluster ORDER BY round(median_rank, 9), gene_id) AS rn FROM rf WHERE freq_sig > 0.3 AND median_rank < 0.1 + 1e-9), y AS (SELECT * FROM pick WHERE rn <= 30)
+SELECT meta_cluster, gene_id, {_near_sql('median_rank')} FROM y QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY round(median_rank, 9), meta_cluster) = 1""")
 def top_meta_genes(spark, d):
-    return integrate.top_meta_genes(integrate.rank_genes(_studies(spark, d)), 30, 0.0, 0.5)
+    got = integrate.top_meta_genes(integrate.rank_genes(_studies(spark, d)), 30, 0.3, 0.1)
+    return got.select("meta_cluster", GENE, *_near("median_rank"))
 
 
 @query()
