@@ -497,7 +497,8 @@ _TUKEY = f"""{_F}, z AS (SELECT gi AS i, -8 + gi * 0.01 AS z, 0.5 + sign(gi - 80
 FROM (SELECT * FROM z WHERE i <= 1600 AND i % 4 = 0) a CROSS JOIN range(0, 1201) w(j) JOIN z b ON b.i = a.i + j GROUP BY 1),
 pr AS (SELECT a.gene_id, a.label AS g_low, b.label AS g_high, b.m - a.m AS diff, a.n AS n_low, b.n AS n_high, e.mse, e.df, abs(b.m - a.m) / sqrt(e.mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS q FROM m a JOIN m b ON a.gene_id = b.gene_id AND a.label < b.label JOIN (SELECT gene_id, sum(ss) / (any_value(nt) - any_value(k)) AS mse, any_value(nt) - any_value(k) AS df FROM m JOIN g USING (gene_id) GROUP BY 1) e ON e.gene_id = a.gene_id),
 sg AS (SELECT i, 1 + (i - 100) * 0.09 / sqrt(2 * df) AS s, df, (CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.09 / sqrt(2 * df) / 3 AS w FROM range(0, 201) g(i), (SELECT DISTINCT df FROM pr)), sd AS (SELECT df, s, w * exp(ln(2) + df / 2 * ln(df / 2) - lgamma(df / 2) + (df - 1) * ln(s) - df * s * s / 2) AS w FROM sg),
-tk AS (SELECT gene_id, g_low, g_high, any_value(diff) AS diff, any_value(n_low) AS n_low, any_value(n_high) AS n_high, least(greatest(1 - sum(w * (lo.r + (hi.r - lo.r) * (q * s * 100 - lo.j))), 0), 1) AS p_adj FROM pr JOIN sd ON sd.df = pr.df JOIN rg lo ON lo.j = floor(q * s * 100) JOIN rg hi ON hi.j = lo.j + 1 GROUP BY 1, 2, 3)"""
+tk AS (SELECT gene_id, g_low, g_high, any_value(diff) AS diff, any_value(n_low) AS n_low, any_value(n_high) AS n_high, least(greatest(1 - sum(w * r * CASE h WHEN -1 THEN -f * (f - 1) * (f - 2) / 6 WHEN 0 THEN (f + 1) * (f - 1) * (f - 2) / 2 WHEN 1 THEN -(f + 1) * f * (f - 2) / 2 ELSE (f + 1) * f * (f - 1) / 6 END), 0), 1) AS p_adj
+FROM (SELECT pr.*, w, h, greatest(floor(q * s * 100), 1) + h AS j, q * s * 100 - greatest(floor(q * s * 100), 1) AS f FROM pr JOIN sd ON sd.df = pr.df CROSS JOIN range(-1, 3) x(h)) JOIN rg USING (j) GROUP BY 1, 2, 3)"""
 _TABLE = f"""{_TUKEY}, fa AS (SELECT * FROM {_bh_sql(f"(SELECT *, {_f_sql('f_stat', 'k - 1', 'nt - k')} AS f_pvalue FROM f)", 'f_pvalue', 'f_adjp', '')}),
 kr AS (SELECT gene_id, label, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene_id, x) AS t FROM e), kg AS (SELECT gene_id, label, count(*)::DOUBLE AS n, sum(r) AS s, sum(t * t - 1)::DOUBLE AS ties FROM kr GROUP BY 1, 2),
 kh AS (SELECT gene_id, count(*)::DOUBLE AS k, sum(ties) AS ties, sum(n) AS nt, (12.0 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - sum(ties) / (sum(n) * sum(n) * sum(n) - sum(n))) AS h_stat FROM kg GROUP BY 1), ka AS (SELECT * FROM {_bh_sql(f"(SELECT *, {_chi2_sql('h_stat', 'k - 1')} AS kruskal_pvalue FROM kh)", 'kruskal_pvalue', 'kruskal_adjp', '')}),
@@ -509,10 +510,10 @@ _TABLE_COLS = ("f_stat", "f_pvalue", "f_adjp", "h_stat", "kruskal_pvalue", "krus
 
 
 def _table_cols() -> list:
-    return [*_near(*_TABLE_COLS), *[F.round(F.col(c) + 2e-6, 3).alias(c) for c in ("min_padj", "min_diff_padj")], "min_padj_cmp", "min_diff_cmp", "significant"]
+    return [*_near(*_TABLE_COLS), *[F.round(F.col(c) + 1e-11, 4).alias(c) for c in ("min_padj", "min_diff_padj")], "min_padj_cmp", "min_diff_cmp", "significant"]
 
 
-_TABLE_SQL = _near_sql(*_TABLE_COLS) + ", round(min_padj + 2e-6, 3) AS min_padj, round(min_diff_padj + 2e-6, 3) AS min_diff_padj, min_padj_cmp, min_diff_cmp, significant"
+_TABLE_SQL = _near_sql(*_TABLE_COLS) + ", round(min_padj + 1e-11, 4) AS min_padj, round(min_diff_padj + 1e-11, 4) AS min_diff_padj, min_padj_cmp, min_diff_cmp, significant"
 
 
 @query(f"""{_TABLE}, hf AS (SELECT gene_id, g_high AS g, p_adj, diff FROM tk UNION ALL SELECT gene_id, g_low, p_adj, -diff FROM tk), gs AS (SELECT gene_id, g, bool_and(p_adj < 0.01) AS sp, bool_and(diff > 0) AS up, bool_and(diff < 0) AS down FROM hf GROUP BY 1, 2),
@@ -559,9 +560,9 @@ def tukey_diff(spark, d):
     return de.pair_differences(_expr(spark, d), "value", "label").select(GENE, "g_low", "g_high", _r("diff", "diff"))
 
 
-@query(f"{_TUKEY} SELECT gene_id, g_low, g_high, {_near_sql('diff')}, round(p_adj + 2e-6, 3) AS p_adj, n_low, n_high FROM tk")
+@query(f"{_TUKEY} SELECT gene_id, g_low, g_high, {_near_sql('diff')}, round(p_adj + 1e-11, 4) AS p_adj, n_low, n_high FROM tk")
 def tukey_p(spark, d):
-    return de.tukey_hsd(_expr(spark, d), "value", "label").select(GENE, "g_low", "g_high", *_near("diff"), F.round(F.col("p_adj") + 2e-6, 3).alias("p_adj"), "n_low", "n_high")
+    return de.tukey_hsd(_expr(spark, d), "value", "label").select(GENE, "g_low", "g_high", *_near("diff"), F.round(F.col("p_adj") + 1e-11, 4).alias("p_adj"), "n_low", "n_high")
 
 
 @query(f"""{_KW}, w AS (SELECT a.gene_id, a.label AS g_low, b.label AS g_high, b.s / b.n - a.s / a.n AS diff, a.n AS n1, b.n AS n2, h.n, h.k, h_stat, ((h.n * (h.n + 1) * (2 * h.n + 1)) / 6 - h.ties / 12 - h.n * (h.n + 1) * (h.n + 1) / 4) / (h.n - 1) AS s2 FROM g a JOIN g b ON a.gene_id = b.gene_id AND a.label < b.label JOIN h ON h.gene_id = a.gene_id),
@@ -882,7 +883,7 @@ def nmi(spark, d):
 
 @query()
 def kmeans_labels(spark, d):
-    return cluster.kmeans(_vec(spark, d), 10, starts=2, max_iter=50)
+    return cluster.kmeans(_vec(spark, d), 10)
 
 
 @query()
@@ -937,7 +938,7 @@ def umap_embedding(spark, d):
 
     v = _vec(spark, d)
     ids, x = reduce.collect_matrix(v)
-    return reduce.matrix_frame(v, ids, embed.umap(x, epochs=50))
+    return reduce.matrix_frame(v, ids, embed.umap(x))
 
 
 @query(f"""{_RANKED}, pick AS (SELECT *, row_number() OVER (PARTITION BY meta_cluster ORDER BY round(median_rank, 9), gene_id) AS rn FROM rf WHERE freq_sig > 0.3 AND median_rank < 0.1 + 1e-9), y AS (SELECT * FROM pick WHERE rn <= 30)
@@ -949,14 +950,14 @@ def top_meta_genes(spark, d):
 
 @query()
 def signature_classes(spark, d):
-    got = classify.classify_by_signature(_set(spark, d), "exprs", _sig(spark).filter(F.col("meta_cluster") < "M3"), trees=20, train_pos=0.6)
+    got = classify.classify_by_signature(_set(spark, d), "exprs", _sig(spark), train_pos=0.6)
     return got.drop("rf_probs")
 
 
 @query()
 def forest_labels(spark, d):
     v = _vec(spark, d)
-    m = classify.train_forest(v.filter("batch = 0"), "label", 50)
+    m = classify.train_forest(v.filter("batch = 0"), "label")
     return classify.predict_forest(m, v.filter("batch <> 0")).drop("probs")
 
 
