@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellorium.operators.relational import finite
+from cellorium.session import cut_lineage
 
 #: Histogram bins for each doubling of 1 + |score|; scores in [0, 1] get this many bins.
 RESOLUTION = 48
+#: Groups with at least this part of all rows (one in HOT) are hot; there are HOT of them at most.
+HOT = 1000
 
 
 def score_bin(score: Column, resolution: int = RESOLUTION) -> Column:
@@ -23,8 +26,15 @@ def score_bin(score: Column, resolution: int = RESOLUTION) -> Column:
     return F.floor(F.signum(score) * F.log2(F.abs(score) + 1.0) * F.lit(float(resolution))).cast("int")
 
 
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
+
+
 def top_n_per_group(
-    df: DataFrame, group: Sequence[str], score: str, ties: Sequence[str], n: int, resolution: int = RESOLUTION, salts: int = 16
+    df: DataFrame, group: Sequence[str], score: str, ties: Sequence[str], n: int, resolution: int = RESOLUTION
 ) -> DataFrame:
     """The n rows with the highest ``score`` of each group, with their ``rank`` from 1.
 
@@ -38,10 +48,12 @@ def top_n_per_group(
 
     Plan: (1) rows per group and bin, with map-side combine: at most bins rows
     for a group whatever its size; (2) the running count from the best bin down
-    gives the last bin needed; (3) rows meet their group's threshold through a
-    join on (group, salt), so a group of a third of all rows spreads over
-    ``salts`` tasks; (4) the exact row number over the survivors, of which
-    Catalyst again keeps n per task before the last shuffle.
+    gives the last bin needed; (3) the thresholds of groups with at least 1 / ``HOT`` of all
+    rows, so ``HOT`` groups at most, are broadcast, and rows of such groups never
+    move for the join: those that reach their threshold take a salt; all other
+    rows meet their group's threshold by a shuffle in which no group holds more
+    than 1 / ``HOT`` of the rows; (4) the exact row number over the survivors, of
+    which Catalyst again keeps n per task before the last shuffle.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -55,14 +67,14 @@ def top_n_per_group(
     names = [f"h{i}" for i in range(len(group))]
     hist = rows.groupBy(*[F.col(g).alias(a) for g, a in zip(gs, names)], "bin").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy(*names).orderBy(F.desc("bin"))
-    need = hist.withColumn("before", F.sum("n").over(down) - F.col("n")).filter(F.col("before") < n)
-    least = need.groupBy(*names).agg(F.min("bin").alias("least"))
-    least = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    salted = rows.withColumn("part", F.pmod(F.xxhash64(*ts, "s"), F.lit(salts)).cast("int"))
-    cond = F.col("part") == F.col("salt")
-    for g, a in zip(gs, names):
-        cond = cond & F.col(g).eqNullSafe(F.col(a))
-    kept = salted.join(least, cond).filter(F.col("bin") >= F.col("least"))
+    counted = hist.withColumn("before", F.sum("n").over(down) - F.col("n"))
+    least = cut_lineage(counted.groupBy(*names).agg(F.min(F.when(F.col("before") < n, F.col("bin"))).alias("least"), F.sum("n").alias("total")))
+    everything = least.agg(F.sum("total")).first()[0] or 0
+    hot = least.filter(F.col("total") * HOT >= everything).select(*[F.col(a).alias(f"hot_{a}") for a in names], F.col("least").alias("hot"))
+    near = rows.join(F.broadcast(hot), _same(gs, [f"hot_{a}" for a in names]), "left").filter(F.col("hot").isNull() | (F.col("bin") >= F.col("hot")))
+    near = near.withColumn("part", F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.xxhash64(*ts, "s"), F.lit(1 << 20))).otherwise(0).cast("int"))
+    met = near.join(least.withColumn("salt", F.lit(0)), _same(gs, names) & (F.col("part") == F.col("salt")), "left")
+    kept = met.filter(F.col("hot").isNotNull() | (F.col("bin") >= F.col("least")))
     w = Window.partitionBy(*gs).orderBy(F.desc("s"), *[F.asc(t) for t in ts])
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("row.*", "rank")
 
