@@ -120,7 +120,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Supply, wanted count and quota of every target."""
     _, report = quota.sample_to_targets(_t(spark, d, "cells"), _t(spark, d, "sample_targets"))
-    return report.select("target_id", F.col("supply").cast("long").alias("supply"), "wanted", "quota", "exhausted")
+    return report.select("target_id", "supply", "wanted", "quota", "exhausted")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:

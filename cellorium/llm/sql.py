@@ -14,6 +14,13 @@ m AS (SELECT dataset_id, 'major_cluster' AS f, {_key("major_cluster")} AS k, cel
 s AS (SELECT dataset_id, f, k, count(DISTINCT cell_id) AS n FROM m WHERE k IS NOT NULL GROUP BY 1, 2, 3),
 t AS (SELECT t.*, coalesce(s.n, 0) AS supply, coalesce(target_share * sample_size, 0) AS ideal, floor(coalesce(target_share * sample_size, 0)) AS low FROM sample_targets t LEFT JOIN s ON t.dataset_id = s.dataset_id AND t.field_name = s.f AND {_key("t.category")} = s.k)"""
 
+_QUOTA = f"""x AS (SELECT *, {_key("category")} AS ck, round(sum(ideal) OVER w) - sum(low) OVER w AS spare, row_number() OVER (PARTITION BY dataset_id, field_name ORDER BY ideal - low DESC, target_id) AS nth, coalesce(target_share, 0) AS sh, supply::DOUBLE AS hi, least(supply, coalesce(min_cells, 0))::DOUBLE AS lo, coalesce(sample_size, 0) AS size FROM t WINDOW w AS (PARTITION BY dataset_id, field_name)),
+y AS (SELECT *, (low + (nth <= spare)::INT)::BIGINT AS wanted FROM x), bd AS (SELECT DISTINCT dataset_id, field_name, round(unnest(CASE WHEN sh > 0 THEN [0.0, lo / sh, hi / sh] ELSE [0.0] END), 9) AS l FROM y),
+up AS (SELECT bd.dataset_id, bd.field_name, l, sum(greatest(least(l * sh, hi), lo)) AS filled, max(size) AS size, sum(CASE WHEN sh > 0 AND lo / sh <= l + 1e-9 AND hi / sh > l + 1e-9 THEN sh ELSE 0 END) AS free FROM bd JOIN y ON bd.dataset_id = y.dataset_id AND bd.field_name = y.field_name GROUP BY 1, 2, 3),
+st AS (SELECT *, l + CASE WHEN free > 0 THEN (size - filled) / free ELSE 0 END AS times FROM up WHERE filled <= size + 1e-6 QUALIFY row_number() OVER (PARTITION BY dataset_id, field_name ORDER BY l DESC) = 1),
+ex AS (SELECT y.*, round(greatest(least(coalesce(times * sh, 0), hi), lo), 6) AS exact FROM y LEFT JOIN st ON st.dataset_id = y.dataset_id AND st.field_name = y.field_name), fl AS (SELECT *, round(sum(exact) OVER w) - sum(floor(exact)) OVER w AS left_over, row_number() OVER (PARTITION BY dataset_id, field_name ORDER BY exact - floor(exact) DESC, target_id) AS no FROM ex WINDOW w AS (PARTITION BY dataset_id, field_name)),
+fq AS (SELECT *, (floor(exact) + (no <= left_over AND exact > floor(exact))::INT)::BIGINT AS quota FROM fl)"""
+
 _WORDS = "regexp_extract_all(strip_accents(regexp_replace(lower({c}), '\\p{{Cf}}', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = "SELECT DISTINCT id, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {id} AS id, {w} AS w FROM {t}))"
 
@@ -37,8 +44,8 @@ SELECT x.a AS cell_a, x.b AS cell_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a
         "p3_found": f"WITH {_P3} SELECT d.f AS field_name, d.ds AS dataset_id, d.dy AS run_day FROM d JOIN w USING (f, ds) WHERE (f = 'exprs' AND (abs(d.m - w.m) > 0.8 OR d.q - w.m > 4.5)) OR (f <> 'exprs' AND (abs(d.m - w.m) > 0.15 OR d.q - w.m > 0.42))",
         "p3_exact": f"WITH {_P3}, n AS (SELECT f, ds, dy, count(*) AS n FROM v GROUP BY 1, 2, 3) SELECT d.f AS field_name, d.ds AS dataset_id, d.dy AS run_day, n, round(d.m, 6) AS median, round(d.q, 6) AS p90 FROM d JOIN n USING (f, ds, dy)",
         "p4_found": f"WITH {_SUPPLY} SELECT target_id FROM t WHERE supply < target_share * sample_size OR supply < min_cells",
-        "p4_report": f"""WITH {_SUPPLY}, x AS (SELECT *, round(sum(ideal) OVER w) - sum(low) OVER w AS spare, row_number() OVER (PARTITION BY dataset_id, field_name ORDER BY ideal - low DESC, target_id) AS nth FROM t WINDOW w AS (PARTITION BY dataset_id, field_name)),
-y AS (SELECT *, (low + (nth <= spare)::INT)::BIGINT AS wanted FROM x), z AS (SELECT *, greatest(wanted, coalesce(min_cells, 0)) AS need FROM y)
-SELECT target_id, supply, wanted, least(supply, need)::BIGINT AS quota, least(supply, need) < need AS exhausted FROM z""",
+        "p4_report": f"WITH {_SUPPLY}, {_QUOTA} SELECT target_id, supply, wanted, quota, quota = supply AND supply < greatest(wanted, coalesce(min_cells, 0)) AS exhausted FROM fq",
+        "p4_sample": f"""WITH {_SUPPLY}, {_QUOTA}, pr AS (SELECT ds, f, k, cell_id, md5(cell_id || ':' || f || ':17') AS priority, row_number() OVER (PARTITION BY ds, f, k ORDER BY md5(cell_id || ':' || f || ':17'), cell_id) AS rn FROM (SELECT DISTINCT dataset_id AS ds, f, k, cell_id FROM m WHERE k IS NOT NULL))
+SELECT target_id, dataset_id, field_name, k AS category_key, cell_id, priority FROM fq JOIN pr ON fq.dataset_id = pr.ds AND fq.field_name = pr.f AND fq.ck = pr.k WHERE rn <= quota""",
         "p8_found": f"WITH d AS ({docs}), e AS ({held}) SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (g)",
     }

@@ -150,6 +150,29 @@ def test_quota_sample_and_report(spark):
     assert {(r["target_id"], r["n"], r["k"]) for r in got} == {(1, rep[1]["quota"], rep[1]["quota"]), (2, 10, 10)}
 
 
+def test_quotas_share_out_what_is_missing(spark):
+    t = datetime(2024, 1, 1)
+    have = {"A": 5, "B": 100, "C": 100, "D": 30}
+    cells = spark.createDataFrame([(f"{c}{i}", "D1", c, None, t, 0, "") for c, n in have.items() for i in range(n)], CELLS)
+    rows = [(1, "A", 0.5, None), (2, "B", 0.3, None), (3, "C", 0.15, None), (4, "D", 0.05, 20), (5, "E", None, 3)]
+    targets = spark.createDataFrame([(i, "D1", "major_cluster", c, s, m, 100, 0, "", 0) for i, c, s, m in rows], TARGETS)
+    sample, report = quota.sample_to_targets(cells, targets)
+    q = {r["target_id"]: r for r in report.collect()}
+    assert [q[i]["quota"] for i in range(1, 6)] == [5, 50, 25, 20, 0]  # 75 for B and C, 2 to 1
+    assert [q[i]["exhausted"] for i in range(1, 6)] == [True, False, False, False, True]
+    assert sample.count() == 100
+
+
+def test_reservoirs_do_not_depend_on_the_tasks(spark):
+    t = datetime(2024, 1, 1)
+    cells = spark.createDataFrame([(f"c{i}", "D1", "A" if i % 3 else "B", None, t, 0, "") for i in range(500)], CELLS)
+    targets = spark.createDataFrame([(1, "D1", "major_cluster", "A", 0.7, None, 60, 0, "", 0), (2, "D1", "major_cluster", "B", 0.3, None, 60, 0, "", 0)], TARGETS)
+    got = [{tuple(r) for r in quota.sample_to_targets(cells.repartition(n), targets)[0].collect()} for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 60
+    parts = list(quota._reservoirs(iter([pd.DataFrame({"dataset_id": "d", "field_name": "f", "category": "c", "priority": [f"{i:03d}" for i in range(a, 90, 3)], "cell_id": "x", "seen": 1, "k": 4}) for a in (0, 1, 2)]), chunk=40))
+    assert len(parts) == 1 and list(parts[0]["priority"]) == ["000", "001", "002", "003"] and parts[0]["seen"].sum() == 90
+
+
 def test_quota_is_uniform(spark):
     t = datetime(2024, 1, 1)
     cells = spark.createDataFrame([(f"c{i}", "D", "A", None, t, 0, "") for i in range(3000)], CELLS)
