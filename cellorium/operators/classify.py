@@ -229,6 +229,30 @@ def classify_by_model(es: ExprSet, model: PipelineModel, assay: str, required: D
     return p.join(meta, CELL, "left") if meta is not None else p
 
 
+def out_of_sample_embedding(es: ExprSet, frac: float = 0.2, vgene_column: str = "hvg_sd", assay: str = "exprs", embedding: DataFrame | None = None, icor_method: str = "spearman", perplexity: float = 30.0, seed: int = 1, max_iter: int = 1000) -> DataFrame:
+    """(cell_id, is_train, features): a t-SNE of a sample, and all other cells placed in it by their correlations with the sample.
+
+    New cells get A pinv(S) Y, where A are their correlations with the sample's
+    cells, S the sample's own and Y its embedding (``embedding``: another one).  The
+    sample is bounded by ``MAX_CELLS``; the others stream past it.
+    """
+    from cellorium.operators import embed
+
+    cells = split_sample(es.cells.select(CELL), CELL, frac, seed).persist()
+    v = es.cell_vectors(assay, vgene_column if vgene_column in es.genes.columns else None).join(cells, CELL).persist()
+    train, rest = v.filter("is_train").drop("is_train"), v.filter("NOT is_train").drop("is_train")
+    ids, s = reduce.collect_matrix(reduce.correlation_space(train, icor_method))
+    if embedding is None:
+        y = embed.run_tsne(s, perplexity, True, seed=seed, max_iter=max_iter)
+        if y is None:
+            raise ValueError("the sample is too small for a t-SNE of this perplexity")
+    else:
+        y = reduce.collect_matrix(embedding.join(cells.filter("is_train").select(CELL), CELL, "left_semi"))[1]
+    placed = reduce.map_out_of_sample(reduce.correlation_space(rest, icor_method, against=train), s, y)
+    own = reduce.matrix_frame(train, ids, y)
+    return own.withColumn("is_train", F.lit(True)).unionByName(placed.withColumn("is_train", F.lit(False))).select(CELL, "is_train", "features")
+
+
 def subsample_cluster_classify(es: ExprSet, frac: float = 0.2, reduction: str = "iCor", method: str = "kmeans", ks: Sequence[int] = (2, 3, 4, 5, 6), classifier: str = "knn", vgene_column: str = "hvg_sd", assay: str = "exprs", use_proj: bool = True, icor_method: str = "spearman", trees: int = 500, seed: int = 1) -> DataFrame:
     """(cell_id, is_train, one label column per k): cluster a sample, classify all other cells.
 

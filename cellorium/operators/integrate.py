@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from cellorium.exprset import CELL, GENE, ExprSet
 from cellorium.functions import udfs
 from cellorium.operators import cluster, de, reduce
 from cellorium.operators.groupstats import median_rank_filled, occurrence, pseudobulk, weighted_mean
-from cellorium.operators.relational import bh_adjust, common_keys, dedup_first, fractional_rank, max_companion, top_k_per_group, zscore
+from cellorium.operators.relational import bh_adjust, common_keys, dedup_first, downsample_per_group, fractional_rank, max_companion, top_k_per_group, zscore
 from cellorium.session import cut_lineage
 
 
@@ -52,13 +51,19 @@ def choose_genes(de_list: DataFrame, genes: DataFrame, by: str = "F.rank.median"
     return got if not got.isEmpty() else genes.select(GENE)
 
 
-def integrate_by_average(united: ExprSet, avg_by: str, assay: str = "exprs", avg: str = "zscore", de_list: DataFrame | None = None, gene_by: str = "F.rank.median", gene_threshold: float = 1500, n_pc: int = 15, scale: bool = True, snn_k: int = 3, snn_method: str = "leiden", seed: int = 9997) -> tuple[ExprSet, DataFrame]:
+def integrate_by_average(united: ExprSet, avg_by: str, assay: str = "exprs", avg: str = "zscore", is_avg: bool = False, n_downsample: int | None = None, par_clust: dict | None = None, de_list: DataFrame | None = None, gene_by: str = "F.rank.median", gene_threshold: float = 1500, n_pc: int = 15, scale: bool = True, snn_k: int = 3, snn_method: str = "leiden", seed: int = 9997) -> tuple[ExprSet, DataFrame]:
     """(pseudo-bulk set with label column meta_cluster, cluster-to-cluster correlations).
 
     Pseudo-bulk means per (data set, group) are one aggregation over all cells; what
     follows works on genes x groups.  Without a DE list genes come from the
-    marker table of each data set.
+    marker table of each data set.  ``is_avg``: the columns are averages already and
+    taken as they are.  ``n_downsample``: at most that many cells of each group of a
+    data set, in hash order.  ``par_clust``: another clustering of the averages, for
+    example {"method": "hclust", "ks": [5]}; its first label column is meta_cluster.
     """
+    if n_downsample and not is_avg:
+        kept = downsample_per_group(united.cells.filter(F.col(avg_by).isNotNull()), ["dataset_id", avg_by], CELL, n_downsample)
+        united = united.subset_cells(kept)
     e = united.expr.join(united.cells.select(CELL, avg_by), CELL).filter(F.col(avg_by).isNotNull())
     if de_list is None:
         de_list = None
@@ -67,8 +72,11 @@ def integrate_by_average(united: ExprSet, avg_by: str, assay: str = "exprs", avg
             part = fractional_rank(f, [], "f_stat", "f_rank").select(GENE, "f_rank", F.lit(d).alias("dataset_id"))
             de_list = part if de_list is None else de_list.unionByName(part)
     genes = choose_genes(de_list, united.genes, gene_by, gene_threshold)
-    bulk = pseudobulk(e, assay, ["dataset_id", avg_by], avg, GENE, over=["dataset_id"])
-    bulk = bulk.withColumn(CELL, F.concat_ws(".", "dataset_id", F.col(avg_by).cast("string"))).select(GENE, CELL, F.coalesce("avg", F.lit(0.0)).alias("value"))
+    if is_avg:
+        bulk = e.select(GENE, F.col(CELL).cast("string").alias(CELL), F.coalesce(assay, F.lit(0.0)).alias("value"))
+    else:
+        bulk = pseudobulk(e, assay, ["dataset_id", avg_by], avg, GENE, over=["dataset_id"])
+        bulk = bulk.withColumn(CELL, F.concat_ws(".", "dataset_id", F.col(avg_by).cast("string"))).select(GENE, CELL, F.coalesce("avg", F.lit(0.0)).alias("value"))
     columns = bulk.select(CELL).distinct().withColumn("dataset_id", dataset_of(F.col(CELL)))
     bulk = bulk.join(genes, GENE, "left_semi")
     if scale:
@@ -77,8 +85,11 @@ def integrate_by_average(united: ExprSet, avg_by: str, assay: str = "exprs", avg
     v = es.cell_vectors("exprs").persist()
     scores, info = reduce.pca(v, n_pc)
     es = es.with_embedding("pca", scores.persist()).with_meta(**{"pca.res.pca": info})
-    es = cluster.clust(es, "pca", "SNN", snn_k=snn_k, snn_method=snn_method, seed=seed)
-    es = es.with_(cells=es.cells.withColumnRenamed("pca.SNN.kauto", "meta_cluster"))
+    par = {"method": "SNN", "snn_k": snn_k, "snn_method": snn_method, "seed": seed} | (par_clust or {})
+    before = set(es.cells.columns)
+    es = cluster.clust(es, "pca", **par)
+    label = next(c for c in es.cells.columns if c not in before)
+    es = es.with_(cells=es.cells.withColumnRenamed(label, "meta_cluster"))
     return es, column_correlations(es.expr, "exprs")
 
 
@@ -118,12 +129,32 @@ def combine_pvalues(p: DataFrame, key: str, study: str, value: str, strict_df: b
     return a.select(key, "n_p", res.alias("p_comb"))
 
 
-def rank_genes(study: DataFrame, sort_by: str = "median_rank", weight: str | None = None, adj_p: float = 0.01, least_d: float = 0.15) -> DataFrame:
+def collapse_studies(study: DataFrame, group_2nd: str, mode: str = "comb", adj_p: float = 0.01, least_d: float = 0.15) -> DataFrame:
+    """(meta_cluster, gene_id, group_2nd, dprime, p_value, adj_p, sig): the studies of each second group as one.
+
+    ``comb``: inverse-variance combination with its normal p; ``max``: the study of
+    largest dprime (ties by name) with its p.  p is adjusted inside (meta_cluster,
+    second group); sig: adj_p < ``adj_p`` and dprime > ``least_d``.
+    """
+    keys = ["meta_cluster", GENE, group_2nd]
+    if mode == "comb":
+        one = de.combine_effects(study, keys).select(*keys, F.col("es_combi").alias("dprime"), F.col("es_combi_p").alias("p_value"))
+    elif mode == "max":
+        ranked = study.withColumn("__o", F.dense_rank().over(Window.partitionBy(*keys).orderBy("study")))
+        one = max_companion(ranked, keys, "dprime", ["p_value"], "__o")
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    one = bh_adjust(one, "p_value", ["meta_cluster", group_2nd], "adj_p")
+    return one.withColumn("sig", F.coalesce((F.col("adj_p") < adj_p) & (F.col("dprime") > least_d), F.lit(False)).cast("int"))
+
+
+def rank_genes(study: DataFrame, sort_by: str = "median_rank", weight: str | None = None, adj_p: float = 0.01, least_d: float = 0.15, group_2nd: str | None = None, mode_collapse: str = "comb") -> DataFrame:
     """The gene table of every meta-cluster from one long table of studies.
 
     study: meta_cluster, gene_id, study, dprime, vardprime, t, p_value, adj_p, sig,
     freq_case, freq_control, n_case, n_control, log_fc, mean_scale, z.  All columns are
     aggregates of one groupBy (meta_cluster, gene_id); ranks are per (meta_cluster, study).
+    ``group_2nd`` adds counts and the largest effect over second groups, see :func:`collapse_studies`.
     """
     keys = ["meta_cluster", GENE]
     study = cut_lineage(study)  # a row per meta-cluster, gene and study, used three times
@@ -146,6 +177,11 @@ def rank_genes(study: DataFrame, sort_by: str = "median_rank", weight: str | Non
     a = a.join(fp, keys)
     for p in ("p_stouffer", "or_comb_p", "p_fisher"):
         a = bh_adjust(a, p, ["meta_cluster"], p + "_adj")
+    if group_2nd:
+        c = collapse_studies(study, group_2nd, mode_collapse, adj_p, least_d)
+        by = F.struct(F.col("dprime"), F.col(group_2nd))
+        c = c.groupBy(*keys).agg(F.sum("sig").alias("n_sig_2nd"), F.avg(F.col("sig").cast("double")).alias("freq_sig_2nd"), F.count(F.lit(1)).alias("n_2nd"), F.max("dprime").alias("dprime_max_2nd"), F.max_by("p_value", by).alias("dprime_max_p_2nd"), F.max_by("adj_p", by).alias("dprime_max_adj_p_2nd"))
+        a = a.join(c, keys, "left")
     a = a.withColumn("sig_comb", (F.col("es_combi") > least_d) & (F.col("p_stouffer_adj") < adj_p))
     return a.orderBy("meta_cluster", F.asc_nulls_last(sort_by), GENE)
 
@@ -166,8 +202,3 @@ def signature_violin(expr: DataFrame, value: str, signature: DataFrame, cells: D
     """(meta_cluster, gene_id, cell_id, group, z): the data of violin plots."""
     z = zscore(expr, [GENE], value, "z").join(cells.select(CELL, group), CELL)
     return z.join(signature.select("meta_cluster", GENE).distinct(), GENE).select("meta_cluster", GENE, CELL, group, "z")
-
-
-def weights_of(n: np.ndarray) -> np.ndarray:
-    """sqrt of each study's share of all cells."""
-    return np.sqrt(n / n.sum())

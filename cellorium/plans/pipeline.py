@@ -35,9 +35,22 @@ def run(es: ExprSet, assay: str = "exprs", method_vgene: str = "HVG.sd", method_
         e = es.expr.join(es.cells.select(CELL, F.col(f"`{col}`").alias("group")), CELL)
         table, _ = de.marker_genes(e, assay, "group")
         es = es.with_meta(de_res=table)
+        if method_clust in (*DENSITY, "SNN"):
+            es = _for_view(es, e, assay, sd_n, seed)
     return es
 
 
+def _for_view(es: ExprSet, e, assay: str, sd_n: int, seed: int) -> ExprSet:
+    """Flag hvg_de, the first significant genes of the variance analysis, and add the t-SNE ``vis.tsne`` on them."""
+    if e.select("group").distinct().limit(2).count() < 2:
+        return es
+    sig = de.find_de_genes(e, assay, "group").filter("significant").orderBy("f_adjp", GENE).limit(sd_n).select(GENE).withColumn("hvg_de", F.lit(True)).persist()
+    if sig.count() < 2:
+        return es
+    flag = es.genes.drop("hvg_de").join(sig, GENE, "left").withColumn("hvg_de", F.coalesce("hvg_de", F.lit(False)))
+    return reduce.reduce_dim(es.with_(genes=flag), "tsne", assay, "hvg_de", auto_tsne=False, name="vis.tsne", seed=seed)
+
+
 def _one(es, rid, level, ks, overrides, assay, mv, mr, mc, n_iter, sd_n, n_pc, refine, n_refine, seed, snn_k, snn_method) -> ExprSet:
     own = overrides.get(normal_run_id(rid), {})
     if own.get("k") == 1:

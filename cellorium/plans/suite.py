@@ -747,6 +747,16 @@ def combine_effects_studies(spark, d):
     return de.combine_effects(v, ["cluster", GENE]).select("cluster", GENE, _r("es_combi", "es_combi"), _r("es_combi_sd", "es_combi_sd"))
 
 
+@query(f"""{_STUDY}, cb AS (SELECT meta_cluster, gene_id, CASE WHEN study = 'S2' THEN 'L1' ELSE 'L0' END AS lab, sum(dprime / vardprime) / sum(1 / vardprime) AS dprime, 1 / sqrt(sum(1 / vardprime)) AS se FROM st GROUP BY 1, 2, 3), cp AS (SELECT *, {_norm_sql('dprime / se')} AS p_value FROM cb),
+ca AS (SELECT *, (adj_p < 0.01 AND dprime > 0.15)::INT AS sig FROM {_bh_sql('cp', 'p_value', 'adj_p', 'meta_cluster, lab')}), y AS (SELECT meta_cluster, gene_id, sum(sig)::BIGINT AS n_sig_2nd, avg(sig) AS freq_sig_2nd, count(*) AS n_2nd, max(dprime) AS dprime_max_2nd, arg_max(p_value, dprime) AS dprime_max_p_2nd, arg_max(adj_p, dprime) AS dprime_max_adj_p_2nd FROM ca GROUP BY 1, 2)
+SELECT meta_cluster, gene_id, n_sig_2nd, n_2nd, {_near_sql('freq_sig_2nd', 'dprime_max_2nd', 'dprime_max_p_2nd', 'dprime_max_adj_p_2nd')} FROM y""")
+def rank_genes_second_group(spark, d):
+    """Effects collapsed over a second grouping of the studies."""
+    s = _studies(spark, d).withColumn("lab", F.when(F.col("study") == "S2", "L1").otherwise("L0"))
+    got = integrate.rank_genes(s, group_2nd="lab")
+    return got.select("meta_cluster", GENE, "n_sig_2nd", "n_2nd", *_near("freq_sig_2nd", "dprime_max_2nd", "dprime_max_p_2nd", "dprime_max_adj_p_2nd"))
+
+
 @query()
 def integrate_datasets(spark, d):
     es = _set(spark, d)
@@ -784,6 +794,21 @@ def sig_gates(spark, d):
     return classify.signature_gates(_expr(spark, d), "value", s.filter(F.col(GENE) < "G0008"), s.filter((F.col(GENE) >= "G0008") & (F.col(GENE) < "G0016")))
 
 
+@query(f"{_Z} SELECT meta_cluster, gene_id, cell_id, label, {_near_sql('z')} FROM z JOIN s USING (gene_id)")
+def signature_violin(spark, d):
+    e = _expr(spark, d)
+    return integrate.signature_violin(e.select(GENE, CELL, "value"), "value", _sig(spark), _vec(spark, d).select(CELL, "label"), "label").select("meta_cluster", GENE, CELL, "label", *_near("z"))
+
+
+@query(f"""{E}, c AS (SELECT gene_id, cell_id, x - avg(x) OVER (PARTITION BY gene_id, batch) + avg(x) OVER (PARTITION BY gene_id) AS x FROM e), z AS (SELECT gene_id, cell_id, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM c WINDOW w AS (PARTITION BY gene_id)), s AS (SELECT 'M' || (i % 8) AS meta_cluster, 'G' || lpad(i::VARCHAR, 4, '0') AS gene_id FROM range(48) t(i)),
+a AS (SELECT cell_id, sum(z) AS s, count(z) AS n FROM z GROUP BY 1), m AS (SELECT z.cell_id, meta_cluster, sum(z) / count(z) - (any_value(a.s) - sum(z)) / (any_value(a.n) - count(z)) AS score FROM z JOIN s USING (gene_id) JOIN a ON a.cell_id = z.cell_id GROUP BY 1, 2)
+SELECT cell_id, meta_cluster AS meta_cluster_top, {_near_sql('score')}, (score >= 1.0)::INT AS bin FROM m QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, meta_cluster) = 1""")
+def module_score_classes(spark, d):
+    """Batch-corrected module scores, the best module of every cell and whether it is reached."""
+    got = classify.classify_by_module_score(_set(spark, d), _sig(spark), "exprs", "batch")
+    return got.select(CELL, "meta_cluster_top", *_near("score"), "bin")
+
+
 # ---- reduction, neighbours, clustering, classification ----------------------------------
 
 
@@ -911,6 +936,18 @@ def snn_leiden_labels(spark, d):
     return _labels(spark, d, "SNN", snn_method="leiden")
 
 
+def _community(method: str) -> None:
+    def f(spark, d):
+        return _labels(spark, d, "SNN", snn_method=method)
+
+    f.__name__ = f"snn_{method}_labels"
+    query()(f)
+
+
+for _m in ("louvain", "prop", "greedy", "eigen", "walktrap", "spinglass", "infomap"):
+    _community(_m)
+
+
 def _labels(spark, d, method: str, **kw) -> DataFrame:
     v = _vec(spark, d)
     es = _set(spark, d).with_embedding("emb", v.select(CELL, "features"))
@@ -961,6 +998,28 @@ def forest_labels(spark, d):
     return classify.predict_forest(m, v.filter("batch <> 0")).drop("probs")
 
 
+@query()
+def pooled_classes(spark, d):
+    v = _vec(spark, d)
+    return classify.classify_pool(v.select(CELL, "features"), v.select(CELL, "label"), "label")[0].drop("probs")
+
+
+@query()
+def model_classes(spark, d):
+    """A forest stored for z-scores of four genes more than the set has, applied with padding."""
+    es = _set(spark, d)
+    z = relational.zscore(_expr(spark, d), [GENE], "value", "z")
+    need = spark.createDataFrame([(f"G{i:04d}",) for i in range(68)], f"{GENE} string")
+    train = ExprSet.from_long(relational.pad_missing(z.select(GENE, CELL, "z"), need, GENE, es.cells, CELL, "z"), es.cells, need, value="z")
+    model = classify.train_forest(train.cell_vectors("exprs").join(es.cells.filter("batch = 0").select(CELL, "label"), CELL), "label")
+    return classify.classify_by_model(es, model, "exprs", need, pad=True).drop("probs")
+
+
+@query()
+def out_of_sample_tsne(spark, d):
+    return classify.out_of_sample_embedding(_set(spark, d), 0.4)
+
+
 @query()
 def svm_labels(spark, d):
     v = _vec(spark, d)

@@ -9,7 +9,7 @@ import pytest
 
 from cellorium.plans import registry
 
-SLOW = {"svm_labels", "pipeline_labels", "integrate_datasets", "subsample_classified", "de_genes", "rank_genes"}
+SLOW = {"signature_classes", "svm_labels", "subsample_classified", "pipeline_labels", "pooled_classes", "model_classes", "integrate_datasets"}
 NAMES = sorted(set(registry.queries()) - SLOW)
 
 
