@@ -1,10 +1,12 @@
 """The most similar vectors of every vector by collision-counting hashing.
 
-Every vector has one value per random projection.  Two vectors collide in a
-projection if one lies in the window centred on the other; windows start narrow
-and are widened by a factor (virtual rehashing: nothing is hashed anew).  A pair
-that collides in at least a share of the projections is verified by its exact
-similarity.  Empty positions move a vector by more than its similarity tells, and no
+Every vector has one value per random projection, and every projection one sorted
+array.  The window centred on a query is the run of a sorted array that binary
+search finds around the query's value; two vectors collide in a projection if one
+lies in the other's window.  Windows start narrow and are widened (virtual
+rehashing: nothing is hashed anew), and only the ranks a widening adds are counted.
+A pair that collides in enough projections is verified by its exact similarity;
+how many follows from the share of pairs at the window's radius that must be found.  Empty positions move a vector by more than its similarity tells, and no
 window bounds by how much, so pairs with an empty position in either vector are
 verified without a window.
 
@@ -19,10 +21,10 @@ probability.  Collisions are counted and verified inside blocks of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +32,33 @@ from pyspark.sql import functions as F
 from cellorium.llm.vectors import cross_pearson, pair_pearson, to_matrix, unit_rows
 from cellorium.session import cut_lineage
 
-#: Projections per block, share of them that must collide, rows per block the trees aim at.
-PROJECTIONS, THRESHOLD, BLOCK = 16, 0.7, 1024
+#: Projections per block, half width of a window in standard deviations of a pair's projected distance, rows per block the trees aim at.
+PROJECTIONS, HALF_WIDTH, BLOCK = 16, 1.5, 512
+#: Share of the pairs at a window's radius that one block must find; windows of a search as parts of the radius of the least similarity.
+BLOCK_RECALL, WIDENINGS = 0.97, (0.6, 1.0)
 TREES = 8
 #: Share of a tile's pairs from which candidates are verified by a matrix product.
 DENSE = 0.02
 #: Vectors from which the cuts of the trees are fitted; every vector is indexed.
 SAMPLE = 32_768
-#: Half width of the zone around a cut that goes to both sides: for similarities from 0.9 on, below that, and per root of the share of empty positions.
-MARGIN, WIDE_MARGIN, MARGIN_EMPTY = 0.02, 0.1, 0.7
+#: Half width of the zone around a cut that goes to both sides: times the radius to the power 1.4, and per root of the share of empty positions.
+MARGIN, MARGIN_EMPTY = 0.117, 0.7
+
+
+def _radius(min_sim: float) -> float:
+    """Distance of unit vectors of that correlation."""
+    return float(np.sqrt(2 * max(1 - min_sim, 1e-4)))
+
+
+def collisions_needed(projections: int = PROJECTIONS, recall: float = BLOCK_RECALL, half_width: float = HALF_WIDTH) -> int:
+    """The most collisions that a pair at the window's radius still reaches with probability ``recall``."""
+    p = math.erf(half_width / math.sqrt(2))
+    tail = 0.0
+    for k in range(projections, 0, -1):
+        tail += math.comb(projections, k) * p**k * (1 - p) ** (projections - k)
+        if tail >= recall:
+            return k
+    return 1
 
 
 def _fit_tree(u: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,12 +99,31 @@ def _route(u: np.ndarray, margin: np.ndarray, dirs: np.ndarray, cuts: np.ndarray
     return row, node - ((1 << depth) - 1)
 
 
-def _collide(p: np.ndarray, q: np.ndarray, width: float) -> np.ndarray:
-    """For queries q (rows) and vectors p the number of projections in whose window they collide."""
-    n = np.zeros((q.shape[0], p.shape[0]), np.uint8)
-    for i in range(p.shape[1]):
-        n += np.abs(q[:, i : i + 1] - p[:, i]) <= width
-    return n
+class _Windows:
+    """Sorted arrays of a block's projections, and the query-centred windows in them."""
+
+    def __init__(self, p: np.ndarray):
+        self.p, self.order = p, np.argsort(p, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(p, self.order, axis=0)
+        kind = np.uint16 if len(p) < 1 << 16 else np.uint32
+        self.rank = np.empty(p.shape[::-1], kind)
+        for i in range(p.shape[1]):
+            self.rank[i, self.order[:, i]] = np.arange(len(p), dtype=kind)
+
+    def around(self, rows: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First rank and number of ranks of each row's window in every projection."""
+        at = range(self.p.shape[1])
+        lo = np.stack([np.searchsorted(self.sorted[:, i], self.p[rows, i] - width, "left") for i in at])
+        hi = np.stack([np.searchsorted(self.sorted[:, i], self.p[rows, i] + width, "right") for i in at])
+        return lo.astype(self.rank.dtype), (hi - lo).astype(self.rank.dtype)
+
+    def count(self, n: np.ndarray, new: tuple, old: tuple | None) -> None:
+        """Add to ``n`` (rows, vectors) the collisions in the windows ``new`` that ``old`` did not hold."""
+        for i, rank in enumerate(self.rank):
+            inside = (rank - new[0][i][:, None]) < new[1][i][:, None]  # unsigned: below the window wraps round
+            if old is not None:
+                inside ^= (rank - old[0][i][:, None]) < old[1][i][:, None]
+            n += inside
 
 
 def _margins(x: np.ndarray, zone: float) -> np.ndarray:
@@ -93,12 +132,17 @@ def _margins(x: np.ndarray, zone: float) -> np.ndarray:
 
 
 def _verify(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray | None, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of the pairs of ``rows`` and ``cols`` at or over ``min_sim`` among those hit (None: all)."""
-    if hit is None or hit.mean() > DENSE:  # many candidates: one matrix product instead of pair by pair
-        sim = cross_pearson(x[rows], x[cols])
-        ok = sim >= min_sim if hit is None else hit & (sim >= min_sim)
-        qi, cj = np.nonzero(ok)
-        return rows[qi], cols[cj], sim[qi, cj]
+    """(i, j, similarity) of the pairs of ``rows`` and ``cols`` at or over ``min_sim`` among those hit (None: all).
+
+    Where many pairs are candidates one product of short floats screens them; what
+    comes near ``min_sim`` is computed exactly, pair by pair.
+    """
+    if not len(rows) or not len(cols):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if hit is None or hit.mean() > DENSE:
+        u = np.where(np.isfinite(x), unit_rows(x), np.nan).astype(np.float32)
+        near = cross_pearson(u[rows], u[cols]) >= min_sim - 1e-3
+        hit = near if hit is None else hit & near
     qi, cj = np.nonzero(hit)
     qi, cj = rows[qi], cols[cj]
     at = range(0, len(qi), 50_000)
@@ -108,50 +152,47 @@ def _verify(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray |
 
 
 def _search_block(x: np.ndarray, k: int, min_sim: float, seed: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of verified pairs: for each i its k best at or over ``min_sim`` in the block."""
-    u = unit_rows(x).astype(np.float32)
+    """(i, j, similarity) of verified pairs: for each i its k best at or over ``min_sim`` in the block.
+
+    A query whose k best so far lie within the radius of its windows is done; the
+    others get wider windows.
+    """
     rs = np.random.RandomState(seed)
-    a = rs.standard_normal((u.shape[1], PROJECTIONS)).astype(np.float32)
-    p = u @ a
-    need = int(np.ceil(THRESHOLD * PROJECTIONS))
-    far = np.sqrt(2 * max(1 - min_sim, 1e-4))
-    # width of window = 1.5 standard deviations of the projected distance at the radius
-    radii = [far] if far <= 0.35 else [far * f for f in (0.5, 0.7, 0.85, 1.0)]
     gappy = ~np.isfinite(x).all(1)
     gaps, full = np.flatnonzero(gappy), np.flatnonzero(~gappy)
+    win = _Windows(unit_rows(x[full]).astype(np.float32) @ rs.standard_normal((x.shape[1], PROJECTIONS)).astype(np.float32))
+    need, far = collisions_needed(), _radius(min_sim)
     tile = max(32, min(tile, (1 << 20) // max(len(x), 1)))
-    out_i, out_j, out_s = [], [], []
-    for s in range(0, len(x), tile):
-        todo = np.arange(s, min(s + tile, len(x)))
-        sure = [_verify(x, todo[gappy[todo]], np.arange(len(x)), None, min_sim), _verify(x, todo[~gappy[todo]], gaps, None, min_sim)]
-        for r in radii:
-            own = todo[~gappy[todo]]
-            hit = _collide(p[full], p[own], np.float32(1.5 * r)) >= need
-            found = [*sure, _verify(x, own, full, hit, min_sim)] if hit.size else sure
-            qi, cj, sim = (np.concatenate(v) for v in zip(*found))
-            ok = qi != cj
-            qi, cj, sim = qi[ok], cj[ok], sim[ok]
-            last = r == radii[-1]
-            within = np.bincount(qi[sim >= 1 - r * r / 2], minlength=len(x))
-            done = np.zeros(len(x), bool)
-            done[todo] = True if last else within[todo] >= k
-            take = done[qi]
-            qi, cj, sim = qi[take], cj[take], sim[take]
-            order = np.lexsort((cj, -sim, qi))
-            qi, cj, sim = qi[order], cj[order], sim[order]
-            rank = np.arange(len(qi)) - np.searchsorted(qi, qi, "left")
-            best = rank < k
-            out_i.append(qi[best])
-            out_j.append(cj[best])
-            out_s.append(sim[best])
-            todo = todo[~done[todo]]
-            if not len(todo):
+    found = [_verify(x, gaps, np.arange(len(x)), None, min_sim), _verify(x, full, gaps, None, min_sim)]
+    sure = np.zeros(len(x), np.int64)  # pairs found so far within a radius, for queries without gaps
+    for s in range(0, len(full), tile):
+        own = np.arange(s, min(s + tile, len(full)))  # positions in ``full``
+        n, hit, old = np.zeros((len(own), len(full)), np.uint8), None, None
+        for part in WIDENINGS:
+            r = far * part
+            new = win.around(own, np.float32(HALF_WIDTH * r))
+            win.count(n, new, old)
+            now = n >= need
+            fresh = _verify(x, full[own], full, now if hit is None else now & ~hit, min_sim)
+            found.append(fresh)
+            if part == WIDENINGS[-1]:
+                break
+            near = fresh[2] >= 1 - r * r / 2
+            np.add.at(sure, fresh[0][near & (fresh[0] != fresh[1])], 1)
+            stay = sure[full[own]] < k
+            own, n, hit, old = own[stay], n[stay], now[stay], tuple(w[:, stay] for w in new)
+            if not len(own):
                 break
-    cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-    return cat(out_i, np.int64), cat(out_j, np.int64), cat(out_s, float)
+    qi, cj, sim = (np.concatenate(v) for v in zip(*found))
+    ok = qi != cj
+    qi, cj, sim = qi[ok], cj[ok], sim[ok]
+    order = np.lexsort((cj, -sim, qi))
+    qi, cj, sim = qi[order], cj[order], sim[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi, "left") < k
+    return qi[best], cj[best], sim[best]
 
 
-def _sub_blocks(x: np.ndarray, limit: int, seed: int, margin: float = MARGIN) -> list[np.ndarray]:
+def _sub_blocks(x: np.ndarray, limit: int, seed: int, margin: float = MARGIN * _radius(0.96) ** 1.4) -> list[np.ndarray]:
     """Cut a block that came out larger than planned further, with shared margins."""
     if len(x) <= limit:
         return [np.arange(len(x))]
@@ -170,8 +211,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
     each other (see :func:`mutual_neighbours` for exact copies).  Similarity is
     the Pearson correlation over the positions filled in both.  The result is
     approximate; the tests hold its recall at 0.9 or more against brute force.
-    Equal similarities are ordered by key.  An empty table gives no row.  Blocks
-    default to ``BLOCK`` rows, to twice that and a wider margin for similarities under 0.9.
+    Equal similarities are ordered by key.  An empty table gives no row.
 
     The trees are fitted on a bounded sample (``sample``), their depth follows
     from the count of all vectors; every vector is indexed and is a query.  A
@@ -179,8 +219,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
     with the number of vectors times the block size.
     """
     n = vectors.count()
-    near = min_sim >= 0.9
-    block, zone = block or (BLOCK if near else 2 * BLOCK), MARGIN if near else WIDE_MARGIN
+    block, zone = block or BLOCK, MARGIN * _radius(min_sim) ** 1.4
     ddl = "tree int, leaf int, id string, x array<float>"
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / block))))
     depth = min(depth, int(np.log2(max(sample // 8, 1))))
@@ -191,7 +230,7 @@ def k_nearest(vectors: DataFrame, key: str, vec: str, k: int = 10, min_sim: floa
         u = unit_rows(to_matrix(probe.limit(sample).select(F.col(vec).cast("array<float>").alias("v")).toArrow().column("v"))).astype(np.float32)
         fitted = [_fit_tree(u, depth, seed + t) for t in range(trees)]
     else:
-        trees = 1
+        trees = 1  # one block is searched once
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -84,6 +84,21 @@ def test_recall_of_gappy_vectors(spark, empties):
     assert met >= 75
 
 
+def test_windows_count_each_collision_once():
+    rs = np.random.RandomState(6)
+    p = np.round(rs.randn(300, 5), 1).astype(np.float32)
+    win, rows = neighbours._Windows(p), np.arange(0, 300, 7)
+    n, old = np.zeros((len(rows), 300), np.uint8), None
+    for w in (0.25, 0.55, 1.05):
+        new = win.around(rows, np.float32(w))
+        win.count(n, new, old)
+        assert (n == (np.abs(p[rows][:, None] - p[None]) <= w).sum(2)).all()
+        old = new
+    need = neighbours.collisions_needed()
+    hits = (np.abs(rs.randn(20_000, neighbours.PROJECTIONS)) <= neighbours.HALF_WIDTH).sum(1)
+    assert (hits >= need).mean() >= neighbours.BLOCK_RECALL - 0.01 > (hits > need).mean() - 0.03
+
+
 def test_mutual_pairs_with_copies(spark):
     x, _ = _planted(600, seed=4)
     rows = [(f"c{i:05d}", [None if np.isnan(a) else a for a in v], T) for i, v in enumerate(x)]
