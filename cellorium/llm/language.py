@@ -26,6 +26,8 @@ MAX_SAMPLES, ORDERS, TABLE_BITS, SMOOTHING = 20_000, (1, 2, 3, 4, 5), 17, 0.3
 TEMPER = 0.25
 #: Weight of the wider prior in rows, and of the label evidence.
 STRENGTH, LABEL_WEIGHT = 20.0, 0.5
+#: Sources with at least this part of all lines (one in HOT_SOURCES) are hot; there are HOT_SOURCES of them at most.
+HOT_SOURCES = 1000
 #: Share by which the other sentences of a line count for one that says little by itself.
 CONTEXT = 0.05
 
@@ -203,8 +205,14 @@ def identify_languages(docs: DataFrame, samples: DataFrame, key: str = "doc_id",
     suffixes = _counts(lines, "suffix", k)
     wide = F.array(*[F.lit(float(x)) for x in base])
     smooth = lambda n, prior: F.transform(F.zip_with(n, prior, lambda a, p: a + p * STRENGTH), lambda v: v / (F.aggregate(n, F.lit(0.0), lambda s, x: s + x) + STRENGTH))
-    priors = sources.join(suffixes, "suffix").withColumn("by_suffix", smooth(F.col("n_suffix"), wide)).select("source", smooth(F.col("n_source"), F.col("by_suffix")).alias("prior"))
-    joined = lines.join(priors, "source", "left").select("doc_id", "line_no", "n_letters", "declared", "seg_letters", "seg_scores", F.coalesce("prior", wide).alias("prior"))
+    priors = sources.join(suffixes, "suffix").withColumn("by_suffix", smooth(F.col("n_suffix"), wide)).select(F.col("source").alias("p_source"), smooth(F.col("n_source"), F.col("by_suffix")).alias("prior"), F.aggregate("n_source", F.lit(0.0), lambda s, x: s + x).alias("n"))
+    # sources with at least 1 / HOT_SOURCES of the lines, HOT_SOURCES at most, are broadcast; their lines and those without a source are spread over the join
+    hot = priors.filter(F.col("n") * HOT_SOURCES >= float(everything.sum())).select(F.col("p_source").alias("h_source"), F.col("prior").alias("h_prior"))
+    near = lines.join(F.broadcast(hot), F.col("source") == F.col("h_source"), "left")
+    near = near.withColumn("part", F.when(F.col("source").isNull() | F.col("h_source").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(0))
+    key = F.coalesce("source", F.lit(""))
+    met = near.join(priors.withColumn("salt", F.lit(0).cast("long")), (key == F.col("p_source")) & (F.col("part") == F.col("salt")), "left")
+    joined = met.withColumn("prior", F.coalesce("h_prior", "prior")).select("doc_id", "line_no", "n_letters", "declared", "seg_letters", "seg_scores", F.coalesce("prior", wide).alias("prior"))
     kind = dict(joined.dtypes)["doc_id"]
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
