@@ -65,8 +65,8 @@ def _key(c: str) -> str:
 
 
 def _simpson(f: str, upto: str) -> str:
-    """SQL of the integral of ``f`` (of u) from 0 to ``upto``, 2,000 steps."""
-    return f"(({upto}) / 6000 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.replace('{u}', f'(({upto}) * i / 2000)')})) FROM range(0, 2001) q(i)))"
+    """SQL of the integral of ``f`` (of u) from 0 to ``upto``, 6,000 steps."""
+    return f"(({upto}) / 18000 * (SELECT sum((CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.replace('{u}', f'(({upto}) * i / 6000)')})) FROM range(0, 6001) q(i)))"
 
 
 def _beta_sql(a: str, b: str, x: str) -> str:
