@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, LinearSVC, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,12 @@ from cellorium.operators.neighbors import knn_classify
 from cellorium.operators.relational import hash_order, nan_to_null, split_sample
 
 UNKNOWN = "unkown"  # spelled as users of such tables expect it
+#: Training rows to a task of a forest; its jobs, one or more per level of the trees, each run all tasks.
+TRAIN_ROWS = 2000
+#: Cells to a task that applies the forests of all signatures, which each task unpacks.
+APPLY_ROWS = 1000
+#: Forests of signatures trained at a time.
+FORESTS = 8
 
 
 def _vec(df: DataFrame) -> DataFrame:
@@ -32,13 +40,37 @@ def _scaled(df: DataFrame, normalise: bool) -> DataFrame:
     return StandardScaler(withMean=True, withStd=True, inputCol="__x", outputCol="__z").fit(v).transform(v).drop("__x").withColumnRenamed("__z", "__x")
 
 
+class _ForestModel(RandomForestClassificationModel):
+    """PySpark lists a model's parameters by reading its attributes, all but properties; its cached ``trees`` cost seconds for 500 trees."""
+
+    @property
+    def trees(self) -> list[DecisionTreeClassificationModel]:
+        return [DecisionTreeClassificationModel(m) for m in self._call_java("trees")]
+
+
+class _Forest(RandomForestClassifier):
+    def _create_model(self, java_model) -> _ForestModel:
+        return _ForestModel(java_model)
+
+
 def train_forest(train: DataFrame, label: str, trees: int = 500, normalise: bool = False, seed: int = 1) -> PipelineModel:
-    """A forest over (features, label); trees grow in parallel on the executors."""
+    """A forest over (features, label); trees grow in parallel on the executors.
+
+    Rows are laid out by their number, in the order of cells, so that a small set is
+    not trained by many empty tasks and the bootstrap does not depend on how
+    ``train`` is partitioned.
+    """
     stages = [
         StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc"),
-        RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=trees, seed=seed, maxDepth=8, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred"),
+        _Forest(featuresCol="__x", labelCol="__y", numTrees=trees, seed=seed, maxDepth=8, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred"),
     ]
-    return Pipeline(stages=stages).fit(_scaled(train.filter(F.col(label).isNotNull()), normalise))
+    rows = _scaled(train.filter(F.col(label).isNotNull()), normalise).select(CELL, label, "__x").persist()
+    laid = rows.repartition(-(-max(rows.count(), 1) // TRAIN_ROWS), CELL).sortWithinPartitions(CELL, label).persist()
+    try:
+        return Pipeline(stages=stages).fit(laid)
+    finally:
+        laid.unpersist()
+        rows.unpersist()
 
 
 def predict_forest(model: PipelineModel, pred: DataFrame, normalise: bool = False) -> DataFrame:
@@ -156,26 +188,34 @@ def classify_by_signature(es: ExprSet, assay: str, signature: DataFrame, positiv
     rf_class_max (UNKNOWN under ``prob``), rf_class_second.
     """
     scores = signature_scores(es.expr, assay, signature, batch=batch).persist()
-    gates = signature_gates(es.expr, assay, positive, negative) if positive is not None or negative is not None else None
+    pos = scores.filter(F.col("score") >= train_pos)
+    if positive is not None or negative is not None:
+        gates = signature_gates(es.expr, assay, positive, negative)
+        pos = pos.join(gates.filter("passes").select(CELL, "meta_cluster"), [CELL, "meta_cluster"], "left_semi")
+    sides = pos.select(CELL, "meta_cluster", F.lit("pos").alias("label")).unionByName(scores.filter(F.col("score") < train_neg).select(CELL, "meta_cluster", F.lit("neg").alias("label"))).persist()
+    n = {(r[0], r[1]): r[2] for r in sides.groupBy("meta_cluster", "label").count().collect()}  # two rows a signature
     mods = [r[0] for r in signature.select("meta_cluster").distinct().orderBy("meta_cluster").collect()]  # signatures, a short list
     vec = es.cell_vectors(assay).persist()
-    out = None
-    for m in mods:
-        s = scores.filter(F.col("meta_cluster") == m)
-        pos = s.filter(F.col("score") >= train_pos)
-        if gates is not None:
-            pos = pos.join(gates.filter((F.col("meta_cluster") == m) & F.col("passes")).select(CELL), CELL, "left_semi")
-        neg = s.filter(F.col("score") < train_neg)
-        k = min(pos.count(), neg.count())
-        side = lambda d, lab: d.orderBy(hash_order(CELL, seed), CELL).limit(k).select(CELL, F.lit(lab).alias("label"))  # noqa: E731, B023
-        if 2 * k >= least:
-            model = train_forest(vec.join(side(pos, "pos").unionByName(side(neg, "neg")), CELL), "label", trees, seed=seed)
-            p = predict_forest(model, vec).select(CELL, F.lit(m).alias("m"), F.element_at("probs", "pos").alias("p"))
+    ks = {m: k for m in mods if 2 * (k := min(n.get((m, "pos"), 0), n.get((m, "neg"), 0))) >= max(least, 1)}
+    if ks:
+        most = F.element_at(F.create_map(*[F.lit(x) for m, k in ks.items() for x in (m, k)]), F.col("meta_cluster"))
+        w = Window.partitionBy("meta_cluster", "label").orderBy(hash_order(CELL, seed), CELL)
+        train = sides.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).join(vec, CELL).drop("rn")
+        train = train.repartition(-(-2 * sum(ks.values()) // TRAIN_ROWS), CELL).persist()
+    fit = lambda m: train_forest(train.filter(F.col("meta_cluster") == m), "label", trees, seed=seed) if m in ks else None
+    with ThreadPoolExecutor(FORESTS) as pool:
+        models = list(pool.map(inheritable_thread_target(es.expr.sparkSession)(fit), mods))
+    for d in (train, sides) if ks else (sides,):
+        d.unpersist()
+    p = vec.coalesce(-(-max(vec.count(), 1) // APPLY_ROWS)).select(CELL, array_to_vector("features").alias("__x"))
+    for i, model in enumerate(models):
+        if model is None:
+            p = p.withColumn(f"__p{i}", F.lit(-1.0))
         else:
-            p = vec.select(CELL, F.lit(m).alias("m"), F.lit(-1.0).alias("p"))
-        out = p if out is None else out.unionByName(p)
-    probs = out.groupBy(CELL).agg(F.map_from_entries(F.collect_list(F.struct("m", "p"))).alias("rf_probs"))
-    arr = probs.select(CELL, "rf_probs", F.array(*[F.element_at("rf_probs", m) for m in mods]).alias("p"))
+            at = list(model.stages[0].labels).index("pos")
+            p = model.stages[1].transform(p).withColumn(f"__p{i}", F.get(vector_to_array("__p"), F.lit(at))).drop("__raw", "__p", "__pred")
+    arr = p.select(CELL, F.array(*[f"__p{i}" for i in range(len(mods))]).alias("p")).persist()
+    probs = arr.select(CELL, F.map_from_arrays(F.array(*[F.lit(m) for m in mods]), "p").alias("rf_probs"))
     t = top_two(arr, mods).select(CELL, F.col("predicted"), "second", "prob", "second_prob")
     cls = lambda c, p: F.when(F.col(p) < prob, F.lit(UNKNOWN)).otherwise(F.col(c))
     t = t.select(CELL, F.col("prob").alias("rf_max"), F.col("second_prob").alias("rf_second"), cls("predicted", "prob").alias("rf_class_max"), cls("second", "second_prob").alias("rf_class_second"))

@@ -222,3 +222,32 @@ def test_tsne_query_passes_early_exaggeration(spark, sf, monkeypatch):
     monkeypatch.setattr(embed, "tsne", lambda x, dims=2, perplexity=30.0, max_iter=1000, early_stop=250: seen.update(it=max_iter, early=early_stop) or np.zeros((len(x), 2)))
     suite.tsne_embedding(spark, sf)
     assert seen["it"] == 1000 > seen["early"]
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    x, lab = blobs(20, d=6, far=0.5)
+    v = _vec(spark, x, lab)
+    got = []
+    for parts in (1, 30):
+        m = classify.train_forest(v.repartition(parts), "label", 20)
+        got.append({r["cell_id"]: r["prob"] for r in classify.predict_forest(m, v).collect()})
+    assert got[0] == pytest.approx(got[1], abs=1e-12)
+    assert "trees" not in vars(m.stages[1]) and len(m.stages[1].trees) == 20
+
+
+def test_signature_forests_run_few_tasks(spark):
+    x, lab = blobs(20, d=6)
+    es = _set(spark, x, lab)
+    sig = spark.createDataFrame([(f"M{i % 3}", f"G{i:04d}") for i in range(6)], "meta_cluster string, gene_id string")
+    sc, old = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    sc.setJobGroup("signatures", "")
+    try:
+        got = classify.classify_by_signature(es, "exprs", sig, trees=20, least=10).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    st = sc.statusTracker()
+    stages = [s for j in st.getJobIdsForGroup("signatures") for s in st.getJobInfo(j).stageIds]
+    tasks = sum(i.numTasks for s in set(stages) if (i := st.getStageInfo(s)) and "RandomForest" in i.name)
+    assert len(got) == 60 and (got.rf_max >= 0).all() and 0 < tasks < 150
