@@ -251,3 +251,21 @@ def test_signature_forests_run_few_tasks(spark):
     stages = [s for j in st.getJobIdsForGroup("signatures") for s in st.getJobInfo(j).stageIds]
     tasks = sum(i.numTasks for s in set(stages) if (i := st.getStageInfo(s)) and "RandomForest" in i.name)
     assert len(got) == 60 and (got.rf_max >= 0).all() and 0 < tasks < 150
+
+
+def _rings(k=12, n=5, seed=0):
+    rs, w = np.random.RandomState(seed), np.zeros((k * n, k * n))
+    for a in range(k):
+        w[a * n : a * n + n, a * n : a * n + n] = rs.rand(n, n) + 1
+        b = (a * n + n) % (k * n)
+        w[a * n, b] = 0.3
+    w = np.triu(w + w.T, 1)
+    return w + w.T, np.repeat(np.arange(k), n)
+
+
+def test_infomap_aggregates_the_graph_once_a_start(monkeypatch):
+    w, lab = _rings()
+    calls, old = [], community._aggregate
+    monkeypatch.setattr(community, "_aggregate", lambda *a: calls.append(1) or old(*a))
+    assert same(community.detect(w, "infomap"), lab)
+    assert len(calls) < 30
