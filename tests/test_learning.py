@@ -269,3 +269,14 @@ def test_infomap_aggregates_the_graph_once_a_start(monkeypatch):
     monkeypatch.setattr(community, "_aggregate", lambda *a: calls.append(1) or old(*a))
     assert same(community.detect(w, "infomap"), lab)
     assert len(calls) < 30
+
+
+def test_walktrap_sums_no_matrix_per_merge(monkeypatch):
+    w, lab = _rings(seed=1)
+    calls, old = [], community.modularity
+    monkeypatch.setattr(community, "modularity", lambda *a: calls.append(1) or old(*a))
+    assert same(community.detect(w, "walktrap"), lab)
+    assert len(calls) < 3
+    two = np.zeros((6, 6))
+    two[0, 1] = two[1, 0] = two[2, 3] = two[3, 2] = 1.0
+    assert list(community.detect(two, "walktrap")) == [0, 0, 1, 1, 2, 3]
