@@ -280,3 +280,38 @@ def test_walktrap_sums_no_matrix_per_merge(monkeypatch):
     two = np.zeros((6, 6))
     two[0, 1] = two[1, 0] = two[2, 3] = two[3, 2] = 1.0
     assert list(community.detect(two, "walktrap")) == [0, 0, 1, 1, 2, 3]
+
+
+def _code_length(w, lab, tau=0.15):
+    n, d = len(w), w.sum(1, keepdims=True)
+    step = np.where(d > 0, (1 - tau) * w / np.maximum(d, 1e-300) + tau / n, 1 / n)
+    p = np.linalg.matrix_power(step, 400)[0]
+    flow, own = p[:, None] * step, np.eye(lab.max() + 1)[lab]
+    out = np.array([flow[np.ix_(lab == c, lab != c)].sum() for c in range(lab.max() + 1)])
+    h = lambda v: (v[v > 0] * np.log2(v[v > 0])).sum()
+    return h(np.array([out.sum()])) - 2 * h(out) + h(out + p @ own) - h(p)
+
+
+def test_infomap_moves_single_nodes():
+    rs, lab = np.random.RandomState(17), np.repeat(np.arange(6), 7)
+    w = np.triu(rs.rand(42, 42) < np.where(lab[:, None] == lab, 0.6, 0.05), 1).astype(float)
+    w = w + w.T
+    got = community.detect(w, "infomap")
+    assert same(got, lab)  # a merge of the modularity partitions leaves nodes in a neighbouring group
+    cost = _code_length(w, got)
+    for i in range(42):
+        for c in {*got[w[i] > 0], 6}:
+            assert _code_length(w, np.where(np.arange(42) == i, c, got)) > cost - 1e-9
+
+
+def test_infomap_trials_run_on_executors(spark):
+    x, lab = blobs(12)
+    got = cluster.snn_cluster(_vec(spark, x).select("cell_id", "features"), 6, "infomap")[2]
+    assert same(got, lab)
+    tries = []
+    w, lab = _rings()
+    assert same(community.detect(w, "infomap", each=lambda f, seeds: [tries.append(s) or f(s) for s in seeds]), lab)
+    assert tries == list(range(1, 11))
+    alone = np.zeros((4, 4))
+    alone[0, 1] = alone[1, 0] = 1.0
+    assert list(community.detect(alone, "infomap")) == [0, 0, 1, 2]
